@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillrank.llm import capping, fusion, topn
+from quillrank.llm import capping, fusion, lookalike, neardup, topn
 from quillrank.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,20 @@ def p2_capped(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("evidence_id", "author_id", "confidence")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Reviews of one item, and catalogue titles, that look the same but differ in characters."""
+    texts = lookalike.equal_looking(table(spark, folder, "review_texts"), "review_id", "text", ["item_id"])
+    titles = lookalike.equal_looking(table(spark, folder, "item_metadata"), "item_id", "title", [])
+    return texts.select(F.lit("review_texts").alias("table_name"), "key_a", "key_b").unionByName(titles.select(F.lit("item_metadata").alias("table_name"), "key_a", "key_b"))
+
+
+def p3_unified(spark: SparkSession, folder: str) -> DataFrame:
+    """The one form of every title and every review text."""
+    titles = lookalike.unified(table(spark, folder, "item_metadata").select("item_id", "title"), "title", "form").selectExpr("'item_metadata' AS table_name", "item_id AS key", "form")
+    texts = lookalike.unified(table(spark, folder, "review_texts").select("review_id", "text"), "text", "form").selectExpr("'review_texts' AS table_name", "review_id AS key", "form")
+    return titles.unionByName(texts).distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The five best items of each user by the sum of their standings in the three scores."""
     return fusion.fused(table(spark, folder, "hybrid_scores"), "user_id", "item_id", SCORES, top=5, by="standing").select("user_id", "item_id")
@@ -41,4 +56,19 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return best.selectExpr("user_id", "item AS item_id")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p2_found, p2_capped, p4_found, p4_reciprocal, p5_found)}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Reviews of one item with at least 36 words whose runs of three words agree to 0.55 or more."""
+    pairs = neardup.similar_pairs(table(spark, folder, "review_texts"), "review_id", "item_id", "text", run=3, least_words=36, least=0.55)
+    return pairs.selectExpr("key_a AS review_id_a", "key_b AS review_id_b")
+
+
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each review's class of equal texts and its number of near-duplicates, by runs of five words and 0.8."""
+    found = neardup.classes_with_links(table(spark, folder, "review_texts"), "review_id", "item_id", "text", run=5, least_words=5, least=0.8)
+    return found.selectExpr("key AS review_id", "scope AS item_id", "class_id", "copies", "n_links")
+
+
+QUERIES: dict[str, Query] = {
+    q.__name__: q
+    for q in (p2_found, p2_capped, p3_found, p3_unified, p4_found, p4_reciprocal, p5_found, p6_found, p6_classes)
+}
