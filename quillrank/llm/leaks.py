@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.lookalike import WORD, unified
+from quillrank.llm.lookalike import WORD, form, one_form, unified
 
 #: Words of the corpus in one suffix array, and words of held-out texts sent to the executors at once.
 SHARD_WORDS, SENT_WORDS = 400_000, 500_000
@@ -91,14 +91,14 @@ class Held:
         return at, self.unit[of], length
 
 
-def _searching(held: Held, overlap: int):
+def _searching(held: Held, overlap: int, repairs: dict[str, str]):
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         """Word ids of several documents with a separator after each; longer texts in overlapping pieces."""
         keys, parts, count = [], [], 0
         get = held.ids.get
         for batch in batches:
             for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = np.array([get(w, -4) for w in WORD.findall(text.lower())], np.int64)
+                ids = np.array([get(w, -4) for w in WORD.findall(one_form(text, repairs).lower())], np.int64)
                 for begin in range(0, max(1, len(ids)), SHARD_WORDS):
                     piece = ids[begin : begin + SHARD_WORDS + overlap]
                     keys.append(key)
@@ -143,17 +143,17 @@ def leaked(docs: DataFrame, doc: str, text: str, units: DataFrame, unit: str, un
     in blocks of at most ``SENT_WORDS`` words, each block with its own pass.
     """
     kind_d, kind_u = docs.schema[doc].dataType, units.schema[unit].dataType
-    rows = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("key"), F.col(text).alias("raw"))
+    rows = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("key"), F.col(text).alias("text"))
     own = units.where(F.col(unit).isNotNull() & F.col(unit_text).isNotNull()).select(F.col(unit).alias("key"), F.col(unit_text).alias("text"))
-    form = unified(rows, "raw", "text", corpus=own.select("text")).where("text <> ''").select("key", "text")
+    texts, repairs = form(rows, "text", corpus=own.select("text"))
     parts, block, count = [], [], 0
     schema = f"doc {kind_d.simpleString()}, unit {kind_u.simpleString()}, words int"
 
     def search(block: list) -> DataFrame:
         held = Held(block, least)
-        run = _searching(held, max((len(w) for _, w in block), default=0))
+        run = _searching(held, max((len(w) for _, w in block), default=0), repairs)
         run.schema = pa.schema([("doc", _arrow(kind_d)), ("unit", _arrow(kind_u)), ("words", pa.int32())])
-        return form.mapInArrow(run, schema)
+        return texts.mapInArrow(run, schema)
 
     for row in unified(own, "text", "form").select("key", "form").distinct().toLocalIterator():
         words = WORD.findall(row["form"].lower())

@@ -8,10 +8,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from quillrank.runtime import written
+
 # Letters of other scripts that look like a Latin letter.
 LATIN_TWINS = {
     # Cyrillic, small and capital
@@ -32,8 +34,8 @@ _ODD_LATIN = {c for c in LATIN_TWINS if unicodedata.name(c).startswith("LATIN")}
 _FOREIGN = re.compile("[" + "".join(LATIN_TWINS) + "]")
 _TOKEN = re.compile(r"(?:[^\W_]|[\u0300-\u036f])+")
 WORD = re.compile(r"[^\W_]+")
-#: Repaired words a driver may hold and send to the executors; beyond it they are joined.
-SENT_WORDS = 100_000
+#: Rows of a small table that the driver may hold or send to the executors; a larger one is joined.
+SENT_ROWS = 100_000
 
 
 def _script(c: str) -> str:
@@ -70,10 +72,14 @@ class _Table(dict):
 
 _UNSEEN = _Table()
 _LOW = re.compile(r"[\x00-\x08\x0e-\x1b\x7f]")
+#: A text without any of these is its own folded form.
+_UNTIDY = re.compile("[^ -~\u00a1-\u00a7\u00a9\u00ab\u00ac\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u00ff\u2013\u2014\u2018-\u201d]|  |^ | $")
 
 
 def folded(text: str) -> str:
     """Compatibility forms as ordinary characters, accents composed, nothing without width, single spaces."""
+    if not _UNTIDY.search(text):
+        return text
     if text.isascii():
         return " ".join(_LOW.sub("", text).split())
     text = unicodedata.normalize("NFKC", text.translate(_UNSEEN)).translate(_UNSEEN)
@@ -106,99 +112,125 @@ def suspects(text: str) -> list[tuple[str, str]]:
     return list(out)
 
 
-def _fold(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for text in batches:
-        whole, odd = [], []
-        for t in text.to_pylist():
-            f = None if t is None else folded(t)
-            whole.append(f)
-            odd.append([{"token": a, "fixed": b} for a, b in suspects(f)] if f else [])
-        yield pa.StructArray.from_arrays([pa.array(whole, pa.string()), pa.array(odd, pa.list_(pa.struct([("token", pa.string()), ("fixed", pa.string())])))], names=["text", "odd"])
-
+_PAIR = "array<struct<token string, fixed string>>"
 
-def _folding(column):
-    return arrow_udf(_fold, "text string, odd array<struct<token string, fixed string>>")(column)
 
+def _suspecting(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.list_(pa.struct([("token", pa.string()), ("fixed", pa.string())]))
+    for texts in batches:
+        yield pa.array([[{"token": a, "fixed": b} for a, b in suspects(folded(t))] if t else [] for t in texts.to_pylist()], kind)
 
-def repairs(texts: DataFrame, column: str) -> DataFrame:
-    """``token, fixed``: the tokens of a corpus that are to be rewritten, each with one result.
 
-    ``texts`` has folded texts in ``column`` and their suspects in ``odd``. A rewriting is taken if the
-    corpus has it as a word, in any letter case, or if several different tokens lead to it (then each
-    of them is a disguise of the same word). Words are counted over all texts.
-    """
-    pairs = texts.where(F.size("odd") > 0).select(F.posexplode("odd").alias("at", "o")).select("at", "o.token", "o.fixed")
-    pairs = pairs.groupBy("token", "fixed").agg(F.min("at").alias("at")).withColumn("word", F.lower("fixed"))
-    words = texts.select(F.explode(F.split(F.lower(column), r"(?U)[^\p{L}\p{M}\p{N}]+")).alias("word")).where("word <> ''").distinct()
-    known = pairs.join(words, "word", "left_semi").select("token", "fixed", "at")
-    shared = pairs.groupBy("word").agg(F.count_distinct("token").alias("n")).where("n > 1").select("word")
-    agreed = pairs.join(shared, "word", "left_semi").select("token", "fixed", "at")
-    both = known.withColumn("rank", F.lit(0)).unionByName(agreed.withColumn("rank", F.lit(1)))
-    first = both.groupBy("token").agg(F.min_by("fixed", F.struct("rank", "at", "fixed")).alias("fixed"))
-    return first
+def _folding(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array([None if t is None else folded(t) for t in texts.to_pylist()], pa.string())
 
 
-def _rewriting(words: dict[str, str] | None):
-    """Rewrites tokens by a dictionary, or by the row's own list of (token, fixed)."""
+def _rewritten(text: str, words: dict[str, str]) -> str:
+    return _TOKEN.sub(lambda m: words.get(m[0], m[0]), text) if words and _FOREIGN.search(text) else text
 
-    def one(text: str | None, odd: list) -> str | None:
-        if not text or not odd:
-            return text
-        own = words if words is not None else {o["token"]: o["fixed"] for o in odd}
-        return _TOKEN.sub(lambda m: own.get(m[0], m[0]), text)
 
-    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for text, odd in batches:
-            yield pa.array([one(t, o) for t, o in zip(text.to_pylist(), odd.to_pylist(), strict=True)], pa.string())
+def _repairing(words: dict[str, str]):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([None if t is None else _rewritten(folded(t), words) for t in texts.to_pylist()], pa.string())
 
     return run
 
 
-def unified(df: DataFrame, column: str, out: str, sent_words: int = SENT_WORDS, corpus: DataFrame | None = None) -> DataFrame:
+def _repairing_by_row(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    for texts, rules in batches:
+        yield pa.array([_rewritten(t, {r["token"]: r["fixed"] for r in own or []}) for t, own in zip(texts.to_pylist(), rules.to_pylist(), strict=True)], pa.string())
+
+
+def _ascii(column: str) -> Column:
+    return F.octet_length(column) == F.char_length(column)
+
+
+def small(df: DataFrame, rows: int = SENT_ROWS) -> bool:
+    """Whether a written table has at most so many rows, counted before it is broadcast."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def repairs(texts: DataFrame, column: str, sent_rows: int = SENT_ROWS) -> DataFrame:
+    """``token, fixed``: the tokens of a corpus that are to be rewritten, each with one result.
+
+    A rewriting is taken if the corpus has it as a word, in any letter case, or if several different tokens
+    lead to it (then each of them is a disguise of the same word). Words are those of all texts.
+    The result is a written table; it is small unless the corpus is full of disguised words.
+    """
+    odd = texts.where(~_ascii(column))  # look-alikes are never ASCII
+    each = odd.select(F.posexplode(arrow_udf(_suspecting, _PAIR)(F.col(column))).alias("at", "o")).select("at", "o.token", "o.fixed")
+    pairs = written(each.groupBy("token", "fixed").agg(F.min("at").alias("at")).withColumn("word", F.lower("fixed")), "suspects")
+    wanted = pairs.select("word").distinct()
+    if pairs.isEmpty():
+        return pairs.select("token", "fixed")
+    if small(pairs, sent_rows):
+        wanted = F.broadcast(wanted)
+    folds = odd.select(arrow_udf(_folding, "string")(F.col(column)).alias("t"))
+    split = lambda rows, apart: rows.select(F.explode(F.split(F.lower("t"), apart)).alias("word"))
+    both = split(texts.where(_ascii(column)).select(F.col(column).alias("t")), "[^a-z0-9]+").unionByName(split(folds, r"(?U)[^\p{L}\p{M}\p{N}]+"))
+    words = both.join(wanted, "word", "left_semi").distinct()
+    shared = pairs.groupBy("word").agg(F.count_distinct("token").alias("n")).where("n > 1").select("word")
+    known = words.withColumn("rank", F.lit(0)).unionByName(shared.withColumn("rank", F.lit(1))).groupBy("word").agg(F.min("rank").alias("rank"))
+    return written(pairs.join(known, "word").groupBy("token").agg(F.min_by("fixed", F.struct("rank", "at", "fixed")).alias("fixed")), "repairs")
+
+
+def form(df: DataFrame, column: str, corpus: DataFrame | None = None, sent_rows: int = SENT_ROWS) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` and a dictionary, such that ``one_form(text, dictionary)`` is each text of ``column`` in one form.
+
+    For operators that read the text in Python anyway. With at most ``sent_rows`` repairs they are the dictionary;
+    more are applied here, by joining them to the distinct texts that need them, and the dictionary is empty.
+    """
+    texts = df.select(F.col(column).alias("t"))
+    found = repairs(texts if corpus is None else texts.unionByName(corpus.select(F.col("text").alias("t"))), "t", sent_rows)
+    held = [(r["token"], r["fixed"]) for r in found.limit(sent_rows + 1).collect()]  # bounded by sent_rows
+    if len(held) <= sent_rows:
+        return df, dict(held)
+    odd = df.where(~_ascii(column))
+    key = F.sha2(F.col(column), 256)
+    one = odd.select(key.alias("__h"), arrow_udf(_folding, "string")(F.col(column)).alias("__t")).dropDuplicates(["__h"])
+    tokens = one.select("__h", F.explode(F.split("__t", r"(?U)[^\p{L}\p{M}\p{N}]+")).alias("token")).distinct()
+    rules = tokens.join(found, "token").groupBy("__h").agg(F.collect_list(F.struct("token", "fixed")).alias("__rules"))  # as many as a text has tokens
+    fixed = one.join(rules, "__h").select("__h", arrow_udf(_repairing_by_row, "string")(F.col("__t"), F.col("__rules")).alias("__fixed"))
+    whole = df.withColumn("__k", F.when(~_ascii(column), key)).join(fixed, F.col("__k") == F.col("__h"), "left")
+    return whole.withColumn(column, F.coalesce("__fixed", column)).select(*df.columns), {}
+
+
+def one_form(text: str, words: dict[str, str]) -> str:
+    return _rewritten(folded(text), words)
+
+
+def unified(df: DataFrame, column: str, out: str, corpus: DataFrame | None = None, sent_rows: int = SENT_ROWS) -> DataFrame:
     """``df`` with ``out``: its ``column`` in one consistent form, so that equal-looking texts are equal.
 
     Full-width and other compatibility forms, combining accents, characters without width and runs of
     blanks are brought to one form; then look-alike letters are replaced token by token, where the
-    result is a word of the corpus (``df``'s own column, or column ``text`` of ``corpus``). Letter case,
+    result is a word of the corpus (``df``'s own column and column ``text`` of ``corpus``). Letter case,
     accents and punctuation stay. NULL stays NULL; a text that shows nothing becomes the empty text.
-    A token's repair depends only on the token and the corpus, not on its row.
-
-    The dictionary of repaired tokens goes to the executors if it has at most ``sent_words`` entries;
-    a larger one is joined to the distinct texts that need it.
+    A token's repair depends only on its text's main script and the corpus.
     """
-    clash = {c: f"__{c}" for c in ("__f",) if c in df.columns}
-    base = df.withColumnsRenamed(clash) if clash else df
-    rows = base.withColumn("__f", _folding(F.col(column)))
-    source = (corpus.select(_folding(F.col("text")).alias("__f")) if corpus is not None else rows).select("__f.text", "__f.odd")
-    own = rows.select("__f.text", "__f.odd")
-    found = repairs(source if corpus is None else source.unionByName(own), "text")
-    held = [(r["token"], r["fixed"]) for r in found.limit(sent_words + 1).collect()]  # bounded by sent_words
-    if len(held) <= sent_words:
-        rewrite = arrow_udf(_rewriting(dict(held)), "string")
-        done = rows.withColumn(out, rewrite(F.col("__f.text"), F.col("__f.odd")))
-    else:
-        rewrite = arrow_udf(_rewriting(None), "string")
-        odd = own.where(F.size("odd") > 0).select(F.sha2("text", 256).alias("__h"), "text", "odd").dropDuplicates(["__h"])
-        tokens = odd.select("__h", F.explode("odd.token").alias("token")).distinct()
-        lists = tokens.join(found, "token").groupBy("__h").agg(F.collect_list(F.struct("token", "fixed")).alias("__odd"))
-        fixed = odd.join(lists, "__h").select("__h", rewrite(F.col("text"), F.col("__odd")).alias("__fixed"))
-        key = F.when(F.size("__f.odd") > 0, F.sha2("__f.text", 256))
-        done = rows.withColumn("__k", key).join(fixed, F.col("__k") == F.col("__h"), "left").withColumn(out, F.coalesce("__fixed", "__f.text")).drop("__k", "__h", "__fixed")
-    return done.drop("__f").withColumnsRenamed({v: k for k, v in clash.items()})
-
-
-def equal_looking(df: DataFrame, key: str, column: str, scope: list[str]) -> DataFrame:
+    rows, words = form(df.withColumn(out, F.col(column)), out, corpus, sent_rows)
+    return rows.withColumn(out, arrow_udf(_repairing(words), "string")(F.col(out)))
+
+
+def equal_looking(df: DataFrame, key: str, column: str, scope: list[str], sent_rows: int = SENT_ROWS) -> DataFrame:
     """``key_a, key_b``: two keys of the same scope whose values look the same but differ in characters.
 
-    ``scope`` names the columns within which values are compared (none: everywhere). Rows redelivered
-    under one key count once; values that are NULL or show nothing are left out. Values in one form are
-    gathered as classes first, so only classes that really hold different values give pairs.
+    ``scope`` names the columns within which values are compared (none: everywhere; NULL is a scope of its
+    own). Rows redelivered under one key count once; NULL keys, NULL values and values that show nothing
+    are left out. Values of one form are a class; only classes that hold different values are taken further,
+    and their pairs are made between values first, keys being added last.
     """
-    rows = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).alias("k"), F.struct(*[F.col(s) for s in scope], F.lit(0)).alias("s"), F.col(column).alias("v"))
-    form = unified(rows, "v", "form").where("form <> ''")
-    small = form.select("k", F.sha2("v", 256).alias("v"), F.xxhash64("s", "form").alias("c1"), F.xxhash64("form", "s", F.lit(1)).alias("c2"))
-    values = small.groupBy("c1", "c2", "v", "k").agg(F.lit(1).alias("one"))
-    mixed = values.groupBy("c1", "c2").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("c1", "c2")
-    kept = values.join(mixed, ["c1", "c2"], "left_semi").select("c1", "c2", "v", "k")
-    other = kept.select("c1", "c2", F.col("v").alias("w"), F.col("k").alias("l"))
-    return kept.join(other, ["c1", "c2"]).where("v <> w and k < l").select(F.col("k").alias("key_a"), F.col("l").alias("key_b")).distinct()
+    rows = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).alias("k"), *[F.col(s).alias(f"s{i}") for i, s in enumerate(scope)], F.col(column).alias("v"))
+    looks = unified(rows, "v", "form", sent_rows=sent_rows).where("form <> ''")
+    names = [f"s{i}" for i in range(len(scope))]
+    values = looks.select("k", F.xxhash64("v", F.lit(7)).alias("v1"), F.xxhash64("v").alias("v2"), F.xxhash64(*names, "form").alias("c1"), F.xxhash64("form", *names, F.lit(1)).alias("c2"))
+    value = F.struct("v1", "v2")
+    mixed = written(values.groupBy("c1", "c2").agg(F.min(value).alias("a"), F.max(value).alias("b")).where("a <> b").select("c1", "c2"), "mixed")
+    kept = written(values.join(F.broadcast(mixed) if small(mixed, sent_rows) else mixed, ["c1", "c2"], "left_semi").distinct(), "looking")
+    kinds = kept.select("c1", "c2", "v1", "v2").distinct()
+    pairs = kinds.join(kinds.select("c1", "c2", F.col("v1").alias("w1"), F.col("v2").alias("w2")), ["c1", "c2"]).where("struct(v1, v2) < struct(w1, w2)")
+    other = kept.select("c1", "c2", F.col("v1").alias("w1"), F.col("v2").alias("w2"), F.col("k").alias("l"))
+    keys = pairs.join(kept, ["c1", "c2", "v1", "v2"]).join(other, ["c1", "c2", "w1", "w2"]).where("k <> l")
+    return keys.select(F.least("k", "l").alias("key_a"), F.greatest("k", "l").alias("key_b")).distinct()
