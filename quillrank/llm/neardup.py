@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.lookalike import WORD, unified
+from quillrank.llm.lookalike import WORD, form, one_form, small
 from quillrank.runtime import written
 
 #: Texts of a group that one task compares; larger groups are cut into pairs of chunks.
@@ -92,41 +92,51 @@ def fingerprints(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return out
 
 
-def _signing(run: int, least: int, key_type: str):
+def _signing(run: int, least_words: int, least: float, repairs: dict[str, str]):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [WORD.findall((t or "").lower()) for t in batch["text"].to_pylist()]
-            long = np.array([len(w) >= max(least, run) for w in texts], bool)
+            texts = [WORD.findall(one_form(t or "", repairs).lower()) for t in batch["text"].to_pylist()]
+            long = np.array([len(w) >= max(least_words, run) for w in texts], bool)
             kept = [w for w, x in zip(texts, long, strict=True) if x]
-            h, bounds = run_sets(kept, run)
             rows = batch.filter(pa.array(long))
+            h, bounds = run_sets(kept, run)
+            n = np.diff(bounds)
+            heads = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+            ends = np.cumsum(np.r_[0, heads])
+            first = (h[np.repeat(bounds[:-1] - ends[:-1], heads) + np.arange(ends[-1])] >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(h) else np.zeros(0, np.int32)
+            scopes = rows["scope"].to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
                     rows["key"],
-                    rows["scope"],
-                    pa.array([xxhash.xxh128_digest("\x1f".join(w)) for w in kept], pa.binary()),
-                    pa.array(np.diff(bounds), pa.int32()),
+                    pa.array([xxhash.xxh128_digest(f"{s}\x1e" + "\x1f".join(w)) for s, w in zip(scopes, kept, strict=True)], pa.binary()),
+                    pa.array([xxhash.xxh64_intdigest(str(s)) - (1 << 63) for s in scopes], pa.int64()),
+                    pa.array(n, pa.int32()),
                     pa.array(fingerprints(h, bounds), pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first)),
                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64))),
                 ],
-                names=["key", "scope", "cls", "n", "bits", "runs"],
+                names=["key", "cls", "scope", "n", "bits", "head", "runs"],
             )
 
     return sign
 
 
-def signatures(df: DataFrame, key: str, scope: str, text: str, run: int = 3, least: int = 36) -> DataFrame:
-    """``key, scope, cls, n, bits, runs`` of the texts with at least ``least`` words, one row per key.
+def signatures(df: DataFrame, key: str, scope: str, text: str, run: int = 3, least_words: int = 36, least: float = 0.55) -> DataFrame:
+    """``key, cls, scope, n, bits, head, runs`` of the texts with at least ``least_words`` words, one row per key.
 
-    ``cls`` is equal for equal word sequences. Words are runs of letters and digits in lower case of the
-    text in one form (see :mod:`quillrank.llm.lookalike`). Rows with a NULL key or scope and texts that
-    are NULL or too short have no row; whole texts are read.
+    ``cls`` is equal for equal word sequences of one scope, ``scope`` is a number. Words are runs of letters
+    and digits in lower case of the text in one form (see :mod:`quillrank.llm.lookalike`). ``runs`` are the
+    hashes of the distinct runs of ``run`` words in order, ``head`` begins those by one of which a text that is
+    ``least`` similar must be found. Rows with a NULL key or scope and texts that are NULL or too short
+    have no row; whole texts are read. The result is a written table.
     """
-    rows = df.where(F.col(key).isNotNull() & F.col(scope).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(scope).alias("scope"), F.col(text).alias("raw"))
-    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    form = unified(rows, "raw", "text").select("key", "scope", "text")
-    signed = form.mapInArrow(_signing(run, least, kind["key"]), f"key {kind['key']}, scope {kind['scope']}, cls binary, n int, bits binary, runs array<bigint>")
-    return signed
+    if not 0.25 < least <= 1:
+        raise ValueError("least must be above 0.25 and at most 1")
+    rows = df.where(F.col(key).isNotNull() & F.col(scope).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(scope).alias("scope"), F.col(text).alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+    texts, repairs = form(rows, "text")
+    schema = f"key {kind}, cls binary, scope bigint, n int, bits binary, head array<int>, runs array<bigint>"
+    return written(texts.mapInArrow(_signing(run, least_words, least, repairs), schema), "signatures")
 
 
 def _planes(bits: np.ndarray) -> np.ndarray:
@@ -272,11 +282,10 @@ def _comparing(least: float):
         number = np.repeat(np.arange(len(sizes)), sizes)[several]
         i, j = close_pairs(number, rows["n"].to_numpy().astype(np.int64), rows["bits"].to_pylist(), least) if rows.num_rows else (np.zeros(0, np.int64),) * 2
         side = rows["side"].to_numpy()
-        cross = rows["cross"].to_numpy(zero_copy_only=False).astype(bool)
-        ok = ~cross[i] | (side[i] != side[j])
+        ok = (side[i] == 0) | (side[i] != side[j])
         i, j = i[ok], j[ok]
         cls = rows["cls"].combine_chunks() if rows.num_rows else pa.array([], pa.binary())
-        return pa.RecordBatch.from_arrays([rows["scope_h"].combine_chunks().take(pa.array(i)) if rows.num_rows else pa.array([], pa.int64()), cls.take(pa.array(i)), cls.take(pa.array(j))], names=["scope_h", "x", "y"])
+        return pa.RecordBatch.from_arrays([cls.take(pa.array(i)), cls.take(pa.array(j))], names=["x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -296,11 +305,16 @@ def _comparing(least: float):
     return run
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is counted to be small."""
+    return F.broadcast(df) if small(df) else df
+
+
 def links(signed: DataFrame, least: float = 0.55, group_texts: int = GROUP_TEXTS) -> DataFrame:
-    """``scope_h, x, y, similarity``: classes of one scope whose similarity is at least ``least``.
+    """``x, y, similarity``: classes of one scope whose similarity is at least ``least``.
 
     The similarity is that of the sets of runs: common ones by all. ``signed`` has the rows of
-    :func:`signatures`; equal word sequences are one class ``cls`` and no link.
+    :func:`signatures` for the same ``least``; equal word sequences are one class and no link.
 
     A scope of at most ``group_texts`` classes is compared as a whole. In a larger one, two similar
     texts must share a run among the first ``n - ceil(least * n) + 1`` in hash order, so each of these
@@ -308,38 +322,36 @@ def links(signed: DataFrame, least: float = 0.55, group_texts: int = GROUP_TEXTS
     compared by its own task. Within a group fingerprints are compared by bit planes, and only what they
     allow is checked exactly. Nothing is lost on the way: every step is a bound, none a guess.
     """
-    if not 0.25 < least <= 1:
-        raise ValueError("least must be above 0.25 and at most 1")
-    classes = signed.select(F.xxhash64("scope").alias("scope_h"), "cls", "n", "bits", "runs")
-    narrow = classes.select("scope_h", "cls", "n", "bits").dropDuplicates(["scope_h", "cls"])
-    large = narrow.groupBy("scope_h").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > group_texts).select("scope_h")
-    whole = narrow.join(large, "scope_h", "left_anti").select("scope_h", F.col("scope_h").alias("grp"), "cls", "n", "bits", F.lit(0).alias("side"), F.lit(False).alias("cross"))
-    first = F.expr(f"slice(runs, 1, n - cast(ceil({least!r} * n - 1e-9) AS INT) + 1)")
-    spread = classes.join(large, "scope_h", "left_semi").dropDuplicates(["scope_h", "cls"]).select("scope_h", "cls", "n", "bits", F.explode(first).alias("run"))
-    keyed = spread.select("scope_h", F.xxhash64("scope_h", "run").alias("grp"), "cls", "n", "bits")
-    sizes = keyed.groupBy("grp").agg(F.count(F.lit(1)).alias("held"))
-    wide = sizes.where(F.col("held") > group_texts).select("grp", F.ceil(F.col("held") / group_texts).cast("int").alias("chunks"))
-    single = keyed.join(wide, "grp", "left_anti").select("scope_h", "grp", "cls", "n", "bits", F.lit(0).alias("side"), F.lit(False).alias("cross"))
-    cut = keyed.join(wide, "grp").withColumn("side", F.pmod(F.hash("cls"), F.col("chunks")))
-    paired = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "scope_h", F.xxhash64("grp", F.least("side", "other"), F.greatest("side", "other")).alias("grp"), "cls", "n", "bits", "side", (F.col("side") != F.col("other")).alias("cross")
-    )
-    rows = whole.unionByName(single).unionByName(paired)
-    sorted_rows = rows.repartition("grp").sortWithinPartitions("grp", "n")
-    maybe = sorted_rows.mapInArrow(_comparing(least), "scope_h bigint, x binary, y binary")
-    pairs = maybe.select("scope_h", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    sides = pairs.select("scope_h", F.explode(F.array("x", "y")).alias("cls")).distinct()
-    sets = classes.select("scope_h", "cls", "runs").join(sides, ["scope_h", "cls"], "left_semi").dropDuplicates(["scope_h", "cls"])
-    a = sets.select("scope_h", F.col("cls").alias("x"), F.col("runs").alias("ra"))
-    b = sets.select("scope_h", F.col("cls").alias("y"), F.col("runs").alias("rb"))
-    common = F.size(F.array_intersect("ra", "rb"))
-    both = pairs.join(a, ["scope_h", "x"]).join(b, ["scope_h", "y"]).withColumn("common", common)
+    counts = signed.select("scope", "cls").distinct().groupBy("scope").agg(F.count(F.lit(1)).alias("held"))
+    large = written(counts.where(F.col("held") > group_texts).select("scope"), "large")
+    fields = ["grp", "cls", "n", "bits", "side"]
+    if large.isEmpty():
+        rows = signed.dropDuplicates(["cls"]).select(F.col("scope").alias("grp"), "cls", "n", "bits", F.lit(0).alias("side"))
+    else:
+        marked = signed.join(_bounded(large.withColumn("large", F.lit(True))), "scope", "left")
+        groups = F.when(F.col("large"), F.transform("head", lambda r: F.xxhash64("scope", r))).otherwise(F.array("scope"))
+        once = marked.select("cls", "n", "bits", groups.alias("groups")).dropDuplicates(["cls"])
+        keyed = once.select(F.explode("groups").alias("grp"), "cls", "n", "bits", F.lit(0).alias("side"))
+        sizes = signed.join(_bounded(large), "scope", "left_semi").select("cls", F.explode(F.transform("head", lambda r: F.xxhash64("scope", r))).alias("grp"))
+        held = sizes.groupBy("grp").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > group_texts)  # copies count, which is on the safe side
+        wide = written(held.select("grp", F.ceil(F.col("held") / group_texts).cast("int").alias("chunks")), "wide")
+        if wide.isEmpty():
+            rows = keyed
+        else:
+            cut = keyed.join(_bounded(wide), "grp", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("mine", F.pmod(F.hash("cls"), F.col("chunks")))
+            paired = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            place = F.when(F.col("chunks") == 1, F.col("grp")).otherwise(F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other")))
+            rows = paired.select(place.alias("grp"), "cls", "n", "bits", F.when(F.col("mine") == F.col("other"), 0).otherwise(F.col("mine") + 1).alias("side"))
+    sorted_rows = rows.select(*fields).repartition("grp").sortWithinPartitions("grp", "n")
+    maybe = sorted_rows.mapInArrow(_comparing(least), "x binary, y binary")
+    pairs = written(maybe.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "maybe")
+    sides = written(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "sides")
+    sets = signed.select("cls", "runs").join(_bounded(sides), "cls", "left_semi").dropDuplicates(["cls"])
+    a = sets.select(F.col("cls").alias("x"), F.col("runs").alias("ra"))
+    b = sets.select(F.col("cls").alias("y"), F.col("runs").alias("rb"))
+    both = pairs.join(a, "x").join(b, "y").withColumn("common", F.size(F.array_intersect("ra", "rb")))
     similarity = F.col("common") / (F.size("ra") + F.size("rb") - F.col("common"))
-    return both.select("scope_h", "x", "y", similarity.alias("similarity")).where(F.col("similarity") >= least)
-
-
-def _members(signed: DataFrame) -> DataFrame:
-    return signed.select(F.xxhash64("scope").alias("scope_h"), "cls", "key").distinct()
+    return both.select("x", "y", similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def similar_pairs(df: DataFrame, key: str, scope: str, text: str, run: int = 3, least_words: int = 36, least: float = 0.55, group_texts: int = GROUP_TEXTS) -> DataFrame:
@@ -348,24 +360,24 @@ def similar_pairs(df: DataFrame, key: str, scope: str, text: str, run: int = 3,
     See :func:`signatures` for what counts as a text and :func:`links` for the search. Pairs are written
     out only here, where the caller wants every pair of keys.
     """
-    signed = written(signatures(df, key, scope, text, run, least_words), "signatures")
-    members = _members(signed)
-    found = links(signed, least, group_texts).select("scope_h", "x", "y")
-    copied = members.groupBy("scope_h", "cls").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("scope_h", F.col("cls").alias("x"), F.col("cls").alias("y"))
-    a = members.select("scope_h", F.col("cls").alias("x"), F.col("key").alias("k"))
-    b = members.select("scope_h", F.col("cls").alias("y"), F.col("key").alias("l"))
-    pairs = found.unionByName(copied).join(a, ["scope_h", "x"]).join(b, ["scope_h", "y"]).where("x <> y or k < l")
+    signed = signatures(df, key, scope, text, run, least_words, least)
+    found = links(signed, least, group_texts).select("x", "y")
+    members = signed.select("cls", "key").distinct()
+    copied = members.groupBy("cls").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select(F.col("cls").alias("x"), F.col("cls").alias("y"))
+    a = members.select(F.col("cls").alias("x"), F.col("key").alias("k"))
+    b = members.select(F.col("cls").alias("y"), F.col("key").alias("l"))
+    pairs = found.unionByName(copied).join(a, "x").join(b, "y").where("x <> y or k < l")
     return pairs.select(F.least("k", "l").alias("key_a"), F.greatest("k", "l").alias("key_b")).where("key_a <> key_b").distinct()
 
 
 def classes_with_links(df: DataFrame, key: str, scope: str, text: str, run: int = 3, least_words: int = 36, least: float = 0.55, group_texts: int = GROUP_TEXTS) -> DataFrame:
-    """``key, scope, class_id, copies, n_links``: one row per key with the class of equal texts and how
-    many other keys of its scope are equal or similar to it. Copies are counted, not paired."""
-    signed = written(signatures(df, key, scope, text, run, least_words), "signatures")
-    members = signed.select(F.xxhash64("scope").alias("scope_h"), "scope", "cls", "key").distinct()
-    sizes = members.groupBy("scope_h", "cls").agg(F.count(F.lit(1)).alias("copies"))
-    found = links(signed, least, group_texts)
-    ends = found.select("scope_h", F.col("x").alias("cls"), F.col("y").alias("other")).unionByName(found.select("scope_h", F.col("y").alias("cls"), F.col("x").alias("other")))
-    far = ends.join(sizes.select("scope_h", F.col("cls").alias("other"), F.col("copies").alias("there")), ["scope_h", "other"]).groupBy("scope_h", "cls").agg(F.sum("there").alias("linked"))
-    named = members.join(sizes, ["scope_h", "cls"]).join(far, ["scope_h", "cls"], "left")
-    return named.select(F.col("key"), F.col("scope"), F.lower(F.hex("cls")).alias("class_id"), "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    """``key, class_id, copies, n_links``: one row per key with the class of equal texts and how many other
+    keys of its scope are equal or similar to it. Copies are counted, not paired."""
+    signed = signatures(df, key, scope, text, run, least_words, least)
+    members = signed.select("cls", "key").distinct()
+    sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
+    found = written(links(signed, least, group_texts).select("x", "y"), "links")
+    ends = found.select(F.col("x").alias("cls"), F.col("y").alias("other")).unionByName(found.select(F.col("y").alias("cls"), F.col("x").alias("other")))
+    far = ends.join(sizes.select(F.col("cls").alias("other"), F.col("copies").alias("there")), "other").groupBy("cls").agg(F.sum("there").alias("linked"))
+    named = members.join(sizes, "cls").join(far, "cls", "left")
+    return named.select("key", F.lower(F.hex("cls")).alias("class_id"), "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
