@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm import capping, fusion, lookalike, neardup, topn
+from quillrank.llm import capping, fusion, leaks, lookalike, neardup, products, spans, tokens, topn
 from quillrank.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SCORES = ["normalized_mf", "normalized_graph", "normalized_aspect"]
 
 
+LISTING = ("item_id", "title", "features_json", "details_json", "brand")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalogue listings that are one product."""
+    return products.same_products(table(spark, folder, "item_metadata"), *LISTING).selectExpr("key_a AS item_id_a", "key_b AS item_id_b")
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each identified listing with its product."""
+    return products.product_groups(table(spark, folder, "item_metadata"), *LISTING).selectExpr("key AS item_id", "product_id", "listings")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence beyond five records per author."""
     dropped = capping.verdicts(table(spark, folder, "t4_2_evidence"), "author_id", "confidence", "evidence_id", cap=5, only=False)
@@ -65,10 +78,39 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Each review's class of equal texts and its number of near-duplicates, by runs of five words and 0.8."""
     found = neardup.classes_with_links(table(spark, folder, "review_texts"), "review_id", "item_id", "text", run=5, least_words=5, least=0.8)
-    return found.selectExpr("key AS review_id", "scope AS item_id", "class_id", "copies", "n_links")
+    return found.selectExpr("key AS review_id", "class_id", "copies", "n_links")
+
+
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of every document."""
+    return tokens.encoded(table(spark, folder, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold 13 consecutive words, or all words, of a held-out unit."""
+    found = leaks.leaked(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_units"), "unit_id", "text", 13)
+    return found.selectExpr("doc AS doc_id", "unit AS unit_id")
+
+
+def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that stay once those with held-out passages are removed."""
+    return leaks.without_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_units"), "unit_id", "text", 13).select("doc_id")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that share 300 characters in a row."""
+    return spans.sharing_pairs(table(spark, folder, "documents"), "doc_id", "text", 300).selectExpr("key_a AS doc_id_a", "key_b AS doc_id_b")
+
+
+def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """How many characters of each document other documents hold too, in passages of at least 300."""
+    return spans.shared_lengths(table(spark, folder, "documents"), "doc_id", "text", 300).selectExpr("key AS doc_id", "n_chars", "shared_chars")
 
 
 QUERIES: dict[str, Query] = {
     q.__name__: q
-    for q in (p2_found, p2_capped, p3_found, p3_unified, p4_found, p4_reciprocal, p5_found, p6_found, p6_classes)
+    for q in (
+        *(p1_found, p1_groups, p2_found, p2_capped, p3_found, p3_unified, p4_found, p4_reciprocal, p5_found),
+        *(p6_found, p6_classes, p8_ids, p9_found, p9_clean, p10_found, p10_shared),
+    )
 }
