@@ -11,9 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillrank.operators import snapshot
-from quillrank.runtime import written
+from quillrank.runtime import partitions, written
 
 MS_PER_DAY = 86_400_000
+#: Likes of one user that meet all the user's likes in one task.
+CHUNK_LIKES = 500
 #: Edges that one Python worker may hold for the methods that need the whole graph.
 WORKER_EDGES = 20_000_000
 
@@ -72,7 +74,12 @@ def item_similarity(edge: DataFrame) -> DataFrame:
     """``item_a, item_b, common, similarity``: cosine of the sets of users who liked both, each ordered pair once."""
     liked = edge.where("positive").select("user_id", "item_id")
     degree = liked.groupBy("item_id").agg(F.count(F.lit(1)).alias("degree"))
-    pairs = liked.select("user_id", F.col("item_id").alias("item_a")).join(liked.select("user_id", F.col("item_id").alias("item_b")), "user_id").where("item_a < item_b")
+    # A user's likes are cut into chunks, each of which meets all of them in a task of its own.
+    cut = liked.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / CHUNK_LIKES).cast("int").alias("chunks"))
+    sized = liked.join(cut, "user_id")
+    left = sized.select("user_id", F.col("item_id").alias("item_a"), F.pmod(F.hash("item_id"), F.col("chunks")).alias("chunk"))
+    right = sized.select("user_id", F.col("item_id").alias("item_b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    pairs = left.join(right, ["user_id", "chunk"]).where("item_a < item_b")
     common = pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("common"))
     a, b = degree.select(F.col("item_id").alias("item_a"), F.col("degree").alias("da")), degree.select(F.col("item_id").alias("item_b"), F.col("degree").alias("db"))
     return common.join(a, "item_a").join(b, "item_b").select("item_a", "item_b", "common", (F.col("common") / F.sqrt(F.col("da") * F.col("db"))).alias("similarity"))
@@ -85,11 +92,11 @@ def neighbour_scores(users: DataFrame, edge: DataFrame, neighbours: int | None =
     both = one.select("item_a", "item_b", "similarity").unionByName(one.select(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"), "similarity"))
     liked = edge.where("positive").join(users, "user_id", "left_semi").select("user_id", F.col("item_id").alias("item_a"))
     rows = liked.join(both, "item_a").select("user_id", F.col("item_b").alias("item_id"), "item_a", "similarity")
-    rows = rows.join(edge.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     if neighbours:
         at = F.row_number().over(W.partitionBy("user_id", "item_id").orderBy(F.col("similarity").desc(), F.col("item_a").asc()))
         rows = rows.withColumn("at", at).where(F.col("at") <= neighbours)
-    return rows.groupBy("user_id", "item_id").agg(F.round(F.sum("similarity"), 12).alias("score"))
+    sums = rows.groupBy("user_id", "item_id").agg(F.round(F.sum("similarity"), 12).alias("score"))
+    return sums.join(edge.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")  # fewer rows than before the sums
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -100,6 +107,7 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 
 def with_fallback(own: DataFrame, users: DataFrame, edge: DataFrame, cutoff: int, k: int, zero_reason: str | None) -> DataFrame:
     """A ranker's top ``k`` where the user likes something and a score is above 0, else popularity, with the reason."""
+    own = written(own, "own")
     liking = edge.where("positive").select("user_id").distinct()
     scored = own.groupBy("user_id").agg(F.max("score").alias("most")).where("most > 0").select("user_id") if zero_reason else own.select("user_id").distinct()
     good = own.join(scored, "user_id", "left_semi").withColumn("fallback_reason", F.lit(None).cast("string"))
@@ -110,10 +118,110 @@ def with_fallback(own: DataFrame, users: DataFrame, edge: DataFrame, cutoff: int
     return good.select("user_id", "rank", "item_id", "score", "fallback_reason").unionByName(other.select("user_id", "rank", "item_id", "score", "fallback_reason"))
 
 
+class Graph:
+    """The liked edges as arrays, by user and by item; ``names`` and ``items`` are sorted."""
+
+    def __init__(self, users: np.ndarray, items: np.ndarray) -> None:
+        self.names, self.u = np.unique(users.astype(str), return_inverse=True)
+        self.items, self.i = np.unique(items.astype(str), return_inverse=True)
+        self.by_user, self.by_item = np.argsort(self.u, kind="stable"), np.argsort(self.i, kind="stable")
+        self.cut_u = np.searchsorted(self.u[self.by_user], np.arange(len(self.names) + 1))
+        self.cut_i = np.searchsorted(self.i[self.by_item], np.arange(len(self.items) + 1))
+        self.degree = np.diff(self.cut_i)
+
+    def liked(self, user: int) -> np.ndarray:
+        return self.i[self.by_user[self.cut_u[user] : self.cut_u[user + 1]]]
+
+    def likers(self, item: int) -> np.ndarray:
+        return self.u[self.by_item[self.cut_i[item] : self.cut_i[item + 1]]]
+
+    def places(self, wanted: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where values lie in a sorted array, and which of them do."""
+        at = np.minimum(np.searchsorted(of, wanted), max(len(of) - 1, 0))
+        return at, (of[at] == wanted if len(of) else np.zeros(len(wanted), bool))
+
+    def cosines(self, item: int) -> np.ndarray:
+        """An item's cosine with every item, itself left out."""
+        users = self.likers(item)
+        sizes = self.cut_u[users + 1] - self.cut_u[users]
+        at = np.repeat(self.cut_u[users] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        common = np.bincount(self.i[self.by_user[at]], minlength=len(self.items)).astype(float)
+        common[item] = 0.0
+        return common / np.sqrt(self.degree[item] * self.degree)
+
+
+def _sent_graph(edge: DataFrame):
+    """The liked edges for every worker, if they are counted to be at most ``WORKER_EDGES``; else None."""
+    liked = written(edge.where("positive").select("user_id", "item_id"), "liked")
+    if liked.limit(WORKER_EDGES + 1).count() > WORKER_EDGES:
+        return None
+    data = liked.toPandas()
+    return edge.sparkSession.sparkContext.broadcast((data["user_id"].to_numpy(str), data["item_id"].to_numpy(str)))
+
+
+def _best_of(graph: Graph, users: list[str], seen: list, scores: Iterator[np.ndarray], k: int) -> pd.DataFrame:
+    """The ``k`` best unseen items above 0 of each user, by score and item."""
+    out: dict[str, list] = {"user_id": [], "rank": [], "item_id": [], "score": []}
+    for user, own, score in zip(users, seen, scores, strict=True):
+        score = np.round(score, 12)
+        at, there = graph.places(np.array(list(own), dtype=str), graph.items)
+        score[at[there]] = 0.0
+        above = np.flatnonzero(score > 0)
+        if len(above) > k:
+            above = above[score[above] >= np.partition(score[above], len(above) - k)[len(above) - k]]
+        top = above[np.lexsort((above, -score[above]))[:k]]  # items are sorted, so places order like names
+        out["user_id"] += [user] * len(top)
+        out["rank"] += range(1, len(top) + 1)
+        out["item_id"] += graph.items[top].tolist()
+        out["score"] += score[top].tolist()
+    return pd.DataFrame(out)
+
+
+def _wanted(users: DataFrame, edge: DataFrame) -> DataFrame:
+    """Users with the items they have met, spread over at least as many tasks as there are cores."""
+    met = edge.join(users, "user_id", "left_semi").groupBy("user_id").agg(F.collect_set("item_id").alias("seen"))
+    return met.repartition(partitions(users.sparkSession), "user_id")
+
+
 def neighbours_top(users: DataFrame, edge: DataFrame, cutoff: int, k: int, neighbours: int | None = None) -> DataFrame:
-    """Top ``k`` by :func:`neighbour_scores`, filled up from the other unseen items by id where fewer have a score."""
-    scores = neighbour_scores(users, edge, neighbours)
-    return with_fallback(top_k(scores, k), users, edge, cutoff, k, "no_similar_items")
+    """Top ``k`` unseen items by the summed cosines of :func:`neighbour_scores`, else popularity with the reason.
+
+    Where the liked edges fit a worker (``WORKER_EDGES``), each worker makes the cosines of the items its users like
+    from them; a larger graph is joined.
+    """
+    sent = _sent_graph(edge)
+    if sent is None:
+        return with_fallback(top_k(neighbour_scores(users, edge, neighbours), k), users, edge, cutoff, k, "no_similar_items")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = Graph(*sent.value)
+        rows: dict[int, np.ndarray] = {}
+        limit = max(1, (128 << 20) // (8 * max(len(graph.items), 1)))
+
+        def row(item: int) -> np.ndarray:
+            if item not in rows:
+                if len(rows) >= limit:
+                    rows.clear()
+                rows[item] = graph.cosines(item)
+            return rows[item]
+
+        def score(user: int) -> np.ndarray:
+            own = graph.liked(user)
+            if not neighbours or len(own) <= neighbours:
+                return np.sum([row(j) for j in own], axis=0)
+            best = np.zeros((neighbours, len(graph.items)))
+            for j in own:  # the strongest so far, item by item
+                weakest = best.argmin(axis=0)[None, :]
+                np.put_along_axis(best, weakest, np.maximum(np.take_along_axis(best, weakest, 0), row(j)[None, :]), 0)
+            return best.sum(axis=0)
+
+        for frame in frames:
+            at, known = graph.places(frame["user_id"].to_numpy(str), graph.names)
+            part = frame[known]
+            yield _best_of(graph, part["user_id"].tolist(), part["seen"].tolist(), (score(u) for u in at[known]), k)
+
+    own = _wanted(users, edge).mapInPandas(run, "user_id string, rank int, item_id string, score double")
+    return with_fallback(own, users, edge, cutoff, k, "no_similar_items")
 
 
 def walk_steps(users: DataFrame, edge: DataFrame, damping: float = 0.85, steps: int = 2) -> DataFrame:
@@ -140,67 +248,55 @@ def walks(users: DataFrame, edge: DataFrame, k: int, damping: float = 0.85, limi
 
     The liked edges go to every worker as arrays, which is allowed up to ``WORKER_EDGES`` of them; beyond that the
     walk is made by joins (:func:`walk_steps`) with as many double steps as the tolerance needs. A user's walk stops when
-    no user or item changes by more than ``tolerance``. Users who like nothing have no rows.
+    all items together change by at most ``tolerance``, or after ``limit`` steps. Users who like nothing have no rows.
     """
-    liked = written(edge.where("positive").select("user_id", "item_id"), "liked")
-    if liked.limit(WORKER_EDGES + 1).count() > WORKER_EDGES:
+    sent = _sent_graph(edge)
+    if sent is None:
         needed = int(np.ceil(np.log(tolerance) / (2 * np.log(damping))))
         return top_k(walk_steps(users, edge, damping, min(limit // 2, needed)), k)
-    data = liked.toPandas()  # bounded by WORKER_EDGES
-    names, u = np.unique(data["user_id"].to_numpy(str), return_inverse=True)
-    items, i = np.unique(data["item_id"].to_numpy(str), return_inverse=True)
-    sent = users.sparkSession.sparkContext.broadcast((names, u.astype(np.int32), items, i.astype(np.int32)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, u, items, i = sent.value
-        n_u, n_i = len(names), len(items)
-        weight_u, weight_i = 1.0 / np.maximum(np.bincount(u, minlength=n_u), 1), 1.0 / np.maximum(np.bincount(i, minlength=n_i), 1)
-        by_item, by_user = np.argsort(i, kind="stable"), np.argsort(u, kind="stable")
-        cut_i, cut_u = np.searchsorted(i[by_item], np.arange(n_i)), np.searchsorted(u[by_user], np.arange(n_u))
-
-        def to_items(mass: np.ndarray) -> np.ndarray:
-            return np.add.reduceat((mass * weight_u[:, None])[u[by_item]], cut_i, axis=0)
-
-        def to_users(mass: np.ndarray) -> np.ndarray:
-            return np.add.reduceat((mass * weight_i[:, None])[i[by_user]], cut_u, axis=0)
+        graph = Graph(*sent.value)
+        degree_u = np.diff(graph.cut_u)
+        # Who likes one item only sends its mass straight back: those users are a factor of the item, not edges.
+        several = degree_u > 1
+        number = np.cumsum(several) - 1
+        alone = np.bincount(graph.i[~several[graph.u]], minlength=len(graph.items)) / np.maximum(graph.degree, 1)
+        u, i = number[graph.u[several[graph.u]]], graph.i[several[graph.u]]
+        by_u, by_i = np.argsort(u, kind="stable"), np.argsort(i, kind="stable")
+        cut_u = np.searchsorted(u[by_u], np.arange(int(several.sum())))
+        held, cut_i = np.unique(i[by_i], return_index=True)
+        i_of, u_of = i[by_u], u[by_i]
+        weight_i, weight_u = (1.0 / np.maximum(graph.degree, 1))[:, None], (1.0 / degree_u[several])[:, None]
+
+        def there_and_back(mass: np.ndarray) -> np.ndarray:
+            out = alone[:, None] * mass
+            if len(u):
+                at_users = np.add.reduceat((mass * weight_i)[i_of], cut_u, axis=0) * weight_u
+                out[held] += np.add.reduceat(at_users[u_of], cut_i, axis=0)
+            return out
 
         for frame in frames:
-            frame = frame.reset_index(drop=True)
-            place = np.searchsorted(names, frame["user_id"].to_numpy(str))
-            known = (place < n_u) & (names[np.minimum(place, n_u - 1)] == frame["user_id"].to_numpy(str)) if n_u else np.zeros(len(frame), bool)
-            rows = frame[known].reset_index(drop=True)
-            place = place[known]
+            place, known = graph.places(frame["user_id"].to_numpy(str), graph.names)
+            rows, place = frame[known].reset_index(drop=True), place[known]
             for begin in range(0, len(rows), batch):
                 part, at = rows[begin : begin + batch], place[begin : begin + batch]
-                restart = np.zeros((n_u, len(at)))
-                restart[at, np.arange(len(at))] = 1.0
-                p_u, p_i = restart.copy(), np.zeros((n_i, len(at)))
-                final, active = np.zeros((n_i, len(at))), np.arange(len(at))
-                for step in range(limit):
-                    q_u = damping * to_users(p_i) + (1 - damping) * restart
-                    q_i = damping * to_items(p_u)
-                    change = np.maximum(np.abs(q_u - p_u).max(axis=0), np.abs(q_i - p_i).max(axis=0))
-                    done = (change <= tolerance) | (step == limit - 1)
-                    final[:, active[done]] = q_i[:, done]
-                    keep = ~done
-                    if not keep.any():
-                        break
-                    active, restart, p_u, p_i = active[keep], restart[:, keep], q_u[:, keep], q_i[:, keep]
-                out = {"user_id": [], "rank": [], "item_id": [], "score": []}
-                for column, (user, seen) in enumerate(zip(part["user_id"], part["seen"], strict=True)):
-                    score = np.round(final[:, column], 12)
-                    hidden = np.searchsorted(items, np.array(list(seen), dtype=items.dtype))
-                    score[hidden[(hidden < n_i) & (items[np.minimum(hidden, n_i - 1)] == np.array(list(seen), dtype=str))]] = -1.0
-                    top = np.lexsort((items, -score))[:k]
-                    top = top[score[top] > 0]
-                    out["user_id"] += [user] * len(top)
-                    out["rank"] += list(range(1, len(top) + 1))
-                    out["item_id"] += items[top].tolist()
-                    out["score"] += score[top].tolist()
-                yield pd.DataFrame(out)
-
-    wanted = edge.join(users, "user_id", "left_semi").groupBy("user_id").agg(F.collect_set("item_id").alias("seen"))
-    return wanted.mapInPandas(run, "user_id string, rank int, item_id string, score double")
+                start = np.zeros((len(graph.items), len(at)))
+                for column, user in enumerate(at):
+                    start[graph.liked(user), column] = 1.0 / degree_u[user]
+                final, active, mass = np.zeros_like(start), np.arange(len(at)), damping * start
+                for step in range(max(1, limit // 2)):
+                    after = damping * damping * there_and_back(mass) + damping * (1 - damping) * start
+                    done = (np.abs(after - mass).sum(axis=0) <= tolerance) | (step == limit // 2 - 1)
+                    if done.any():
+                        final[:, active[done]] = after[:, done]
+                        if done.all():
+                            break
+                        active, start, after = active[~done], start[:, ~done], after[:, ~done]
+                    mass = after
+                yield _best_of(graph, part["user_id"].tolist(), part["seen"].tolist(), iter(final.T.copy()), k)
+
+    return _wanted(users, edge).mapInPandas(run, "user_id string, rank int, item_id string, score double")
 
 
 def factors(edge: DataFrame, dimensions: int = 16, rate: float = 0.01, regularization: float = 1e-4, epochs: int = 10, batch: int = 1024, seed: int = 7) -> tuple[DataFrame, DataFrame]:

@@ -191,7 +191,7 @@ def nearest_items(spark: SparkSession, folder: str) -> DataFrame:
 def neighbour_top(spark: SparkSession, folder: str) -> DataFrame:
     s = Snapshot(spark, folder)
     edge = s.edge()
-    return ranking.neighbours_top(s.locked(edge).select("user_id").distinct(), edge, s.t1, K, 20)
+    return ranking.neighbours_top(s.locked(edge).select("user_id").distinct(), edge, s.t1, K)
 
 
 @query

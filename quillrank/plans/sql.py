@@ -166,9 +166,9 @@ ORACLE: dict[str, str] = {
     "nearest_items": f"""{_ALL}, {_SIM} SELECT item_a AS item_id, rank, item_b AS near_item, score FROM (SELECT *, row_number() OVER (PARTITION BY item_a ORDER BY score DESC, item_b) AS rank
         FROM (SELECT item_a, item_b, round(similarity, 12) AS score FROM sim)) WHERE rank <= 5""",
     "neighbour_top": f"""{_ALL}, {_SIM}, own AS (SELECT user_id, rank, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
-            SELECT user_id, item_id, round(sum(similarity), 12) AS score FROM (SELECT u.user_id, s.item_b AS item_id, s.similarity, row_number() OVER (PARTITION BY u.user_id, s.item_b ORDER BY s.similarity DESC, s.item_a) AS n
+            SELECT u.user_id, s.item_b AS item_id, round(sum(s.similarity), 12) AS score
                 FROM {_USERS} u JOIN edge e ON e.user_id = u.user_id AND e.positive JOIN sim s ON s.item_a = e.item_id
-                WHERE NOT EXISTS (SELECT 1 FROM edge h WHERE h.user_id = u.user_id AND h.item_id = s.item_b)) WHERE n <= 20 GROUP BY 1, 2)) WHERE rank <= 10)
+                WHERE NOT EXISTS (SELECT 1 FROM edge h WHERE h.user_id = u.user_id AND h.item_id = s.item_b) GROUP BY 1, 2)) WHERE rank <= 10)
         SELECT *, NULL::VARCHAR AS fallback_reason FROM own UNION ALL SELECT b.*, CASE WHEN EXISTS (SELECT 1 FROM edge e WHERE e.user_id = b.user_id AND e.positive) THEN 'no_similar_items' ELSE 'no_positive_history' END
         FROM ({_B0}) b WHERE b.user_id NOT IN (SELECT user_id FROM own)""",
     "walk_steps": f"""{_ALL}, liked AS (SELECT user_id, item_id FROM edge WHERE positive), du AS (SELECT user_id, 1.0::DOUBLE / count(*) AS u FROM liked GROUP BY 1), di AS (SELECT item_id, 1.0::DOUBLE / count(*) AS w FROM liked GROUP BY 1),
