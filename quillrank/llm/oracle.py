@@ -37,3 +37,12 @@ ORACLE["p4_found"] = f"""
 ORACLE["p4_reciprocal"] = f"""
     SELECT user_id, item_id, fused_score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY fused_score DESC, item_id) AS INTEGER) AS position
     FROM (SELECT user_id, item_id, round(0.0 + {' + '.join(f'1.0::DOUBLE / (60 + (1 + n - 1 - lower_{k} - equal_{k} / 2))' for k in range(3))}, 12) AS fused_score FROM ({_PLACED}))"""
+
+_WINDOWS = """w AS (SELECT doc_id, i, md5(substr(text, i, 300)) AS s FROM (
+    SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))"""
+ORACLE["p10_found"] = f"WITH {_WINDOWS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.s = b.s AND a.doc_id < b.doc_id"
+ORACLE["p10_shared"] = f"""
+    WITH {_WINDOWS}, c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w WHERE s IN (
+        SELECT s FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) > 1))
+    SELECT d.doc_id, length(d.text) AS n_chars, coalesce(n, 0)::BIGINT AS shared_chars FROM documents d
+    LEFT JOIN (SELECT doc_id, sum(least(300, coalesce(i - before, 300))) AS n FROM c GROUP BY 1) USING (doc_id)"""
