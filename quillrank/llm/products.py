@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -297,6 +298,7 @@ def _parse(title: str | None, features: str | None, details: str | None, brand:
     left = ["|" if COLOUR_TWINS.get(w, w) in words.colours else w for w in line.split()]
     out["rest"] = " ".join(left)
     # What the phrases are looked for in: title and features as words, parts kept apart.
+    out["line"] = xxhash.xxh64_hexdigest(spaced(name))
     out["text"] = " | ".join([" ".join(title_words), *[" ".join(tokens(x)) for x in lines]])
     return out
 
@@ -323,7 +325,7 @@ def _model(rest: str, brand: str | None) -> tuple[str, ...] | None:
     return parts[0] if len(parts) == 1 and len(parts[0]) <= NAME_WORDS else None
 
 
-_FIELDS = ("maker", "kind", "installment", *PROPERTIES, "rest", "text")
+_FIELDS = ("maker", "kind", "installment", *PROPERTIES, "rest", "line", "text")
 
 
 def _reading(words: Words):
@@ -400,23 +402,26 @@ def mined_words(rows: DataFrame) -> Words:
 def _completed(keys: DataFrame) -> DataFrame:
     """Listings that leave a property out, given it by the one fuller variant that agrees in all they state.
 
-    Where several fuller variants agree, or none, the listing keeps what it states.
+    Where several fuller variants agree, the one counts whose listing has the same title; without such a one
+    the listing keeps what it states.
     """
     group = ["maker", "name", "kind", "installment"]
     stated = sum((F.col(p).isNotNull().cast("int") for p in PROPERTIES), F.lit(0))
-    variants = written(keys.groupBy(*group, *PROPERTIES).agg(F.count(F.lit(1)).alias("held")).withColumn("stated", stated), "variants")
-    most = variants.groupBy(*group).agg(F.max("stated").alias("most"))
-    ranked = variants.join(most, group)
-    part = ranked.where("stated < most").select(*group, *[F.col(p).alias(f"p_{p}") for p in PROPERTIES])
-    full = ranked.where("stated = most").select(*group, F.struct(*PROPERTIES).alias("v"))
+    counted = keys.withColumn("stated", stated)
+    ranked = counted.join(counted.groupBy(*group).agg(F.max("stated").alias("most"), F.min("stated").alias("fewest")).where("fewest < most"), group)
+    part = written(ranked.where("stated < most").select("key", *group, "line", *[F.col(p).alias(f"p_{p}") for p in PROPERTIES]), "partial")
+    if part.isEmpty():
+        return keys.drop("line")
+    full = ranked.where("stated = most").select(*group, "line", F.struct(*PROPERTIES).alias("v"))
     agrees = F.lit(True)
     for p in PROPERTIES:
         agrees = agrees & (F.col(f"p_{p}").isNull() | (F.col(f"p_{p}") == F.col(f"v.{p}")))
-    own = [f"p_{p}" for p in PROPERTIES]
-    one = written(part.join(full, group).where(agrees).groupBy(*group, *own).agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n"), "completed")
-    same = [keys[g] == one[g] for g in group] + [keys[p].eqNullSafe(one[f"p_{p}"]) for p in PROPERTIES]
-    joined = keys.join(F.broadcast(one) if small(one) else one, same, "left")
-    return joined.select("key", *[keys[g] for g in group], *[F.coalesce(keys[p], F.col(f"v.{p}")).alias(p) for p in PROPERTIES])
+    only = lambda rows: rows.where(agrees).groupBy("key").agg(F.min("v").alias("v"), F.count_distinct("v").alias("n")).where("n = 1").select("key", "v")
+    fuller = only(part.join(full.drop("line").distinct(), group))
+    twins = only(part.join(full, [*group, "line"]))
+    one = written(fuller.withColumn("first", F.lit(0)).unionByName(twins.withColumn("first", F.lit(1))).groupBy("key").agg(F.min_by("v", "first").alias("v")), "completed")
+    joined = keys.drop("line").join(F.broadcast(one) if small(one) else one, "key", "left")
+    return joined.select("key", *group, *[F.coalesce(F.col(p), F.col(f"v.{p}")).alias(p) for p in PROPERTIES])
 
 
 def product_keys(df: DataFrame, key: str, title: str, features: str, details: str, brand: str | None = None, block_phrases: int = BLOCK_PHRASES) -> DataFrame:
@@ -431,7 +436,7 @@ def product_keys(df: DataFrame, key: str, title: str, features: str, details: st
 
     Copies of a key count once. NULL or broken JSON states nothing; listings without a kind or any phrase have no
     row; no number means the first installment. A property that a listing leaves out is taken from the only fuller
-    variant that agrees in all the listing states; else being unstated is a value of its own.
+    variant that agrees in all the listing states, or of several from the one with the same title; else being unstated is a value of its own.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(title).isNotNull()).select(F.col(key).alias("key"), F.col(title).alias("title"), F.col(features).alias("features"), F.col(details).alias("details"), (F.col(brand) if brand else F.lit(None).cast("string")).alias("brand"))
     rows = rows.groupBy("key").agg(F.min(F.struct("title", "features", "details", "brand")).alias("r")).select("key", "r.*")
@@ -455,9 +460,9 @@ def product_keys(df: DataFrame, key: str, title: str, features: str, details: st
         found = found.unionByName(b)
     if len(blocks) > 1:
         found = found.groupBy("key").agg(F.min(F.struct((-F.col("size")).alias("s"), (-F.length("owner")).alias("l"), "name", "owner", "part", "size")).alias("b")).select("key", "b.owner", "b.name", "b.size", "b.part")
-    stated = read.select(F.col("key").alias("__key"), "kind", *PROPERTIES)
+    stated = read.select(F.col("key").alias("__key"), "kind", "line", *PROPERTIES)
     whole = found.join(stated, F.col("key") == F.col("__key"))
-    keys = whole.select("key", F.col("owner").alias("maker"), "name", "kind", F.coalesce("part", F.lit("1")).alias("installment"), *PROPERTIES).where("kind is not null")
+    keys = whole.select("key", F.col("owner").alias("maker"), "name", "kind", F.coalesce("part", F.lit("1")).alias("installment"), "line", *PROPERTIES).where("kind is not null")
     return _completed(written(keys, "identified"))
 
 
