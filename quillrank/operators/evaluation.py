@@ -181,3 +181,30 @@ def bootstrap(per_user: DataFrame, models: list[str], samples: int = 2000, level
         return summary(models, means, {m: (frame[f"c{j + 1}"] / frame["c0"]).to_numpy() for j, m in enumerate(models)})
 
     return sums.groupBy(F.lit(1).alias("all")).applyInPandas(finish, schema)  # one row per sample
+
+
+def ranking_violations(ranking: DataFrame, case: DataFrame, edge: DataFrame) -> DataFrame:
+    """One row of counts, all 0 in a sound ranking: items twice for a user, items unknown or already met, users
+    without a case, and case users without a ranking."""
+    twice = ranking.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_items"))
+    unknown = ranking.join(edge.select("item_id"), "item_id", "left_anti").agg(F.count(F.lit(1)).alias("unknown_items"))
+    met = ranking.join(edge, ["user_id", "item_id"], "left_semi").agg(F.count(F.lit(1)).alias("met_items"))
+    foreign = ranking.join(case, "user_id", "left_anti").agg(F.count_distinct("user_id").alias("foreign_users"))
+    missing = case.join(ranking, "user_id", "left_anti").agg(F.count_distinct("user_id").alias("missing_users"))
+    out = twice
+    for one in (unknown, met, foreign, missing):
+        out = out.join(one, F.lit(True))  # one row each
+    return out
+
+
+def upper_medians(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """The middle value of each group, of an even number the upper one; NULLs don't count."""
+    w = W.partitionBy(*group)
+    rows = df.where(F.col(value).isNotNull()).withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__at", F.row_number().over(w.orderBy(value)))
+    return rows.where(F.col("__at") == F.floor(F.col("__n") / 2) + 1).select(*group, F.col(value).alias("median"))
+
+
+def summary_sets(df: DataFrame, keys: list[str], status: str) -> DataFrame:
+    """``key_name, key_value, status, n``: the statuses by each key alone and in all, in one pass over the rows."""
+    sets = F.array(F.struct(F.lit("all").alias("key_name"), F.lit("all").alias("key_value")), *[F.struct(F.lit(k).alias("key_name"), F.col(k).cast("string").alias("key_value")) for k in keys])
+    return df.select(F.col(status).alias("status"), F.inline(sets)).groupBy("key_name", "key_value", "status").agg(F.count(F.lit(1)).alias("n"))

@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillrank.runtime import written
+
 #: Rows of one key that a single task may hold.
 CHUNK_ROWS = 1 << 16
 
 
-def _input_partition(df: DataFrame, rows: int) -> DataFrame:
-    """Adds ``__part`` and ``__row``: where a row lies in its input, whatever the scheduling.
+def _placed(df: DataFrame, columns: list[Column], rows: int) -> DataFrame:
+    """The columns with ``__part`` and ``__row``: where a row lies in its input, whatever the scheduling.
 
-    Rows of Parquet files get their file and a block of ``rows`` row numbers, which stay the
-    same when a lost task runs again; other inputs get Spark's partition and a running id.
+    Rows of Parquet files get their file and a block of ``rows`` row numbers, which stay the same when a lost task runs
+    again. Other inputs have no such place, so they are written once with Spark's partition and a running number.
     """
     try:
-        at = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        at = df.select(*columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
         at.schema  # noqa: B018  (analyses the plan)
-    except Exception:  # no file source below
-        return df.select("*", F.spark_partition_id().cast("long").alias("__part"), F.monotonically_increasing_id().alias("__row"))
-    block = F.floor(F.col("__row") / F.lit(rows))
-    return at.withColumn("__part", F.xxhash64("__file", block)).drop("__file")
+    except AnalysisException:  # no file source below
+        return written(df.select(*columns, F.spark_partition_id().cast("long").alias("__part"), F.monotonically_increasing_id().alias("__row")), "placed")
+    return at.withColumn("__part", F.xxhash64("__file", F.floor(F.col("__row") / F.lit(rows)))).drop("__file")
 
 
 def keyed_chunks(df: DataFrame, key_columns: list[str], value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -37,9 +39,10 @@ def keyed_chunks(df: DataFrame, key_columns: list[str], value: str, chunk_rows:
     tasks as the input has partitions. NULL keys are numbered like any other key; an empty input
     gives an empty result; further columns are dropped.
     """
-    placed = _input_partition(df, chunk_rows)
-    keys = F.array(*[F.struct(F.lit(k).alias("key_name"), F.col(k).cast("string").alias("key_value")) for k in key_columns])
-    rows = placed.select(F.col(value).cast("double").alias("value"), "__part", "__row", F.inline(keys))
+    named = [F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(key_columns)]
+    placed = _placed(df, [F.col(value).cast("double").alias("value"), *named], chunk_rows)
+    keys = F.array(*[F.struct(F.lit(k).alias("key_name"), F.col(f"k{i}").alias("key_value")) for i, k in enumerate(key_columns)])
+    rows = placed.select("value", "__part", "__row", F.inline(keys))
     own = ["key_name", "key_value"]
 
     counts = rows.groupBy(*own, "__part").agg(F.count(F.lit(1)).alias("held"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Buckets into which a value range is cut in each pass of the exact quantile search.
-BUCKETS = 4096
+BUCKETS = 1 << 15
 
 
 def one_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -55,21 +55,26 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> l
     found: dict[int, int] = {}
     open_ = {r: (low, high, 0) for r in ranks}  # rank: value range and rows below it
     while open_:
-        for (a, b) in {(a, b) for a, b, _ in open_.values()}:
-            width = max(1, -(-(b - a + 1) // BUCKETS))
-            inside = values.where(F.col("v").between(a, b))
-            counts = {r["k"]: r["n"] for r in inside.groupBy(F.floor((F.col("v") - a) / width).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-            for r, (_, _, below) in [x for x in open_.items() if x[1][:2] == (a, b)]:
-                for k in sorted(counts):
-                    if below + counts[k] > r:
-                        start = a + k * width
-                        if width == 1:
-                            found[r] = start
-                            del open_[r]
-                        else:
-                            open_[r] = (start, min(b, start + width - 1), below)
-                        break
-                    below += counts[k]
+        ranges = sorted({(a, b) for a, b, _ in open_.values()})  # equal or apart, never overlapping
+        width = {r: max(1, -(-(r[1] - r[0] + 1) // BUCKETS)) for r in ranges}
+        number, bucket = F.lit(None).cast("int"), F.lit(None).cast("bigint")
+        for i, (a, b) in enumerate(ranges):
+            inside = F.col("v").between(a, b)
+            number = F.when(inside, F.lit(i)).otherwise(number)
+            bucket = F.when(inside, F.floor((F.col("v") - a) / width[a, b])).otherwise(bucket)
+        rows = values.select(number.alias("i"), bucket.alias("k")).where("i is not null").groupBy("i", "k").agg(F.count(F.lit(1)).alias("n")).collect()
+        for rank, (a, b, below) in list(open_.items()):
+            i = ranges.index((a, b))
+            for k, n in sorted((r["k"], r["n"]) for r in rows if r["i"] == i):
+                if below + n > rank:
+                    start = a + k * width[a, b]
+                    if width[a, b] == 1:
+                        found[rank] = start
+                        del open_[rank]
+                    else:
+                        open_[rank] = (start, min(b, start + width[a, b] - 1), below)
+                    break
+                below += n
     return [found[math.floor(a)] * (1 - (a - math.floor(a))) + found[math.ceil(a)] * (a - math.floor(a)) for a in at]
 
 
@@ -136,3 +141,13 @@ def retention(clean: DataFrame, start: int, end: int | None) -> DataFrame:
     coming = eligible.agg(F.count_distinct("user_id").alias("eligible_users"), F.count(F.lit(1)).alias("target_pairs"))
     known = past.agg(F.count_distinct("item_id").alias("known_items"))
     return groups.join(coming, F.lit(True)).join(known, F.lit(True))  # one row each
+
+
+def first_seen(df: DataFrame, key: str = "item_id") -> DataFrame:
+    """When each key was met first and last, and how often."""
+    return df.groupBy(key).agg(F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.count(F.lit(1)).alias("n"))
+
+
+def hash_ordered(df: DataFrame, key: str, early: Column, limit: int) -> DataFrame:
+    """The first ``limit`` rows in a repeatable shuffle: early ones first, then by the hash of the key."""
+    return df.orderBy(F.coalesce(early, F.lit(False)).desc(), F.sha2(key, 256), key).limit(limit)

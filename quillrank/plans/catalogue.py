@@ -220,6 +220,27 @@ def factor_top(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.with_fallback(ranking.factor_top(users, edge, ranking.factors(edge), K), users, edge, s.t1, K, None)
 
 
+@query
+def ranking_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """The recommendations of a table, taken as rankings, held against the test cases."""
+    s = Snapshot(spark, folder)
+    edge = s.edge()
+    flat = table(spark, folder, "topk_recommendations").select("user_id", F.explode("item_ids").alias("item_id")).dropna()
+    return evaluation.ranking_violations(flat, s.locked(edge), edge)
+
+
+@query
+def first_seen(spark: SparkSession, folder: str) -> DataFrame:
+    return snapshot.first_seen(snapshot.events(table(spark, folder, "interactions")))
+
+
+@query
+def shuffled_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """A hundred reviews in a repeatable shuffle, those of training time first."""
+    s = Snapshot(spark, folder)
+    return snapshot.hash_ordered(s.clean.where("review_id is not null"), "review_id", F.col("timestamp") < s.t0, 100).select("review_id")
+
+
 # Hybrids
 
 
@@ -404,9 +425,32 @@ def evidence_removal(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("item_id", "aspect", "other_aspect", F.round("before", 8).alias("before"), F.round("after", 8).alias("after"))
 
 
+@query
+def removal_medians(spark: SparkSession, folder: str) -> DataFrame:
+    """The middle change of a deviation when an aspect's reviews are removed."""
+    s = Said(spark, folder)
+    contrib = written(s.contributions(), "contributions")
+    rows = evidence.removal(contrib, evidence.priors(contrib)).where("aspect = other_aspect").select("aspect", F.abs(F.col("after") - F.col("before")).alias("change"))
+    return evaluation.upper_medians(rows, ["aspect"], "change").select("aspect", F.round("median", 8).alias("median"))
+
+
+@query
+def claim_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Claims that stand and that don't, by aspect, by direction and in all."""
+    _, rows = _claims(Said(spark, folder))
+    marked = rows.withColumn("status", F.when(F.col("lacks") == "", "supported").otherwise("insufficient_support"))
+    return evaluation.summary_sets(marked, ["aspect", "direction"], "status")
+
+
 # Labels
 
 
+@query
+def located_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    rows = evidence.observations(table(spark, folder, "t4_2_evidence")).select("evidence_id", "text", "evidence")
+    return labels.located(rows, "text", "evidence").select("evidence_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+
+
 @query
 def clause_split(spark: SparkSession, folder: str) -> DataFrame:
     return labels.clause_rows(snapshot.texts(table(spark, folder, "review_texts")), "review_id", "text")

@@ -243,4 +243,17 @@ ORACLE: dict[str, str] = {
         t AS (SELECT user_id, item_id, round(CASE WHEN adjusted IS NOT NULL THEN round(mf * 0.5 + 0.25 * aspect, 12) - 0.25 * aspect + 0.25 * adjusted ELSE round(mf * 0.5 + 0.25 * aspect, 12) END, 12) AS total_score FROM parts LEFT JOIN one USING (user_id, item_id))
         SELECT user_id, item_id, round(total_score, 9) AS total_score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY total_score DESC, item_id) AS rank FROM t) WHERE rank <= 10""",
     "stream_daily_counts": "SELECT strftime(ingested_at, '%Y-%m-%d') AS day, item_id, count(*) AS n FROM interactions WHERE ingested_at IS NOT NULL AND item_id IS NOT NULL GROUP BY 1, 2",
+    "ranking_checks": f"""{_ALL}, flat AS (SELECT user_id, unnest(item_ids) AS item_id FROM topk_recommendations), r AS (SELECT * FROM flat WHERE user_id IS NOT NULL AND item_id IS NOT NULL)
+        SELECT (SELECT count(*) FROM (SELECT user_id, item_id FROM r GROUP BY 1, 2 HAVING count(*) > 1)) AS repeated_items, (SELECT count(*) FROM r WHERE item_id NOT IN (SELECT item_id FROM edge)) AS unknown_items,
+            (SELECT count(*) FROM r WHERE (user_id, item_id) IN (SELECT (user_id, item_id) FROM edge)) AS met_items, (SELECT count(DISTINCT user_id) FROM r WHERE user_id NOT IN (SELECT user_id FROM cases)) AS foreign_users,
+            (SELECT count(DISTINCT user_id) FROM cases WHERE user_id NOT IN (SELECT user_id FROM r)) AS missing_users""",
+    "first_seen": f"{_BASE} SELECT item_id, min(timestamp) AS first_seen, max(timestamp) AS last_seen, count(*) AS n FROM clean GROUP BY 1",
+    "shuffled_reviews": f"{_BASE} SELECT review_id FROM clean, cut WHERE review_id IS NOT NULL ORDER BY (timestamp < t0) DESC, sha256(review_id), review_id LIMIT 100",
+    "removal_medians": f"""WITH {_OBS}, {_CONTRIB}, w AS (SELECT item_id, aspect, sum(q) AS q, sum(q * z) AS qz, any_value(prior) AS prior FROM contrib JOIN prior USING (aspect) GROUP BY 1, 2),
+        d AS (SELECT aspect, abs((5 * prior) / 5 - prior - ((5 * prior + qz) / (5 + q) - prior)) AS change FROM w)
+        SELECT aspect, round(change, 8) AS median FROM (SELECT *, row_number() OVER (PARTITION BY aspect ORDER BY change) AS at_, count(*) OVER (PARTITION BY aspect) AS n FROM d) WHERE at_ = n // 2 + 1""",
+    "claim_summary": f"""{_CL}, m AS (SELECT aspect, direction, CASE WHEN lacks = '' THEN 'supported' ELSE 'insufficient_support' END AS status FROM claim)
+        SELECT 'all' AS key_name, 'all' AS key_value, status, count(*) AS n FROM m GROUP BY 3 UNION ALL SELECT 'aspect', aspect, status, count(*) FROM m GROUP BY 2, 3
+        UNION ALL SELECT 'direction', direction, status, count(*) FROM m GROUP BY 2, 3""",
+    "located_evidence": f"""WITH {_OBS} SELECT evidence_id, (strpos(text, evidence) - 1)::INTEGER AS start, (strpos(text, evidence) - 1 + length(evidence))::INTEGER AS "end" FROM obs""",
 }

@@ -30,8 +30,9 @@ def write_table(df: DataFrame, path: str, order: list[str] | None = None, rows_p
     An existing table is never overwritten.
     """
     seen = Observation("written")
-    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), content_hash(df.columns).alias("hash"))
-    writer = (counted.orderBy(*order) if order else counted).write.option("compression", "zstd").mode("errorifexists")
+    rows = df.orderBy(*order) if order else df  # sorting samples its input, so rows are counted after it
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"), content_hash(df.columns).alias("hash"))
+    writer = counted.write.option("compression", "zstd").mode("errorifexists")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.parquet(path)

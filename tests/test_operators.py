@@ -221,3 +221,40 @@ def test_temporary_priorities(spark):
     aspects = spark.createDataFrame([("a", "story", 0.0), ("b", "story", 1.0), ("b", "value", 0.0)], "item_id string, aspect string, value double")
     got = {r.item_id: r.total_score for r in serving.reranked(ranked, weights, aspects, {"story": 1.0}, 5).collect()}
     assert got == {"a": pytest.approx(0.8), "b": pytest.approx(0.7 + 0.5 * 0.75)}
+
+
+def test_located(spark):
+    data = [(1, "x \U0001f600 Good  Game", "Good  Game"), (2, "x Good \n Game", "good game"), (3, "abc", "'b'"), (4, "abc", "d"), (5, None, "a"), (6, "abc", ""), (7, "a", None)]
+    got = {r.k: (r.start, r.end) for r in labels.located(spark.createDataFrame(data, "k int, t string, e string"), "t", "e").collect()}
+    assert got == {1: (4, 14), 2: (2, 13), 3: (1, 2), 4: (None, None), 5: (None, None), 6: (None, None), 7: (None, None)}
+
+
+def test_answers(spark):
+    good = '```json {"reviews": [{"id": 0, "labels": [{"aspect": "story", "polarity": "positive", "evidence": "x"}, {"aspect": "odd", "polarity": "positive", "evidence": "y"}]}]} ```'
+    df = spark.createDataFrame([("a", good), ("b", "no answer"), ("c", None)], "k string, t string")
+    assert [(r.key, r.id, r.aspect) for r in labels.answered(df, "k", "t").collect()] == [("a", 0, "story")]
+
+
+def test_upper_median_and_checks(spark):
+    df = spark.createDataFrame([("g", v) for v in (1.0, 2.0, 3.0, 4.0, None)], "g string, v double")
+    assert evaluation.upper_medians(df, ["g"], "v").first()["median"] == 3.0
+    ranked = spark.createDataFrame([("u", "a"), ("u", "a"), ("u", "new"), ("w", "b")], "user_id string, item_id string")
+    case = spark.createDataFrame([("u", "c"), ("v", "c")], "user_id string, item_id string")
+    edge = spark.createDataFrame([("u", "b"), ("w", "b"), ("x", "a")], "user_id string, item_id string")
+    assert tuple(evaluation.ranking_violations(ranked, case, edge).first()) == (1, 1, 1, 1, 1)
+
+
+def test_heavy_user_is_cut_into_chunks(spark, clean, monkeypatch):
+    edge = ranking.edges(clean, 90).cache()
+    want = sorted(ranking.item_similarity(edge).collect())
+    monkeypatch.setattr(ranking, "CHUNK_LIKES", 3)
+    assert sorted(ranking.item_similarity(edge).collect()) == want
+
+
+def test_walk_by_joins_comes_near_the_settled_one(spark, clean, monkeypatch):
+    edge = ranking.edges(clean, 90).cache()
+    users = edge.select("user_id").distinct().limit(5).cache()
+    want = {(r.user_id, r.item_id): r.score for r in ranking.walks(users, edge, 5).collect()}
+    monkeypatch.setattr(ranking, "WORKER_EDGES", 1)
+    got = {(r.user_id, r.item_id): r.score for r in ranking.walks(users, edge, 5, limit=24).collect()}
+    assert got and all(got[k] == pytest.approx(want[k], abs=0.02) for k in got.keys() & want.keys())
