@@ -226,8 +226,8 @@ def equal_looking(df: DataFrame, key: str, column: str, scope: list[str], sent_r
     looks = unified(rows, "v", "form", sent_rows=sent_rows).where("form <> ''")
     names = [f"s{i}" for i in range(len(scope))]
     values = looks.select("k", F.xxhash64("v", F.lit(7)).alias("v1"), F.xxhash64("v").alias("v2"), F.xxhash64(*names, "form").alias("c1"), F.xxhash64("form", *names, F.lit(1)).alias("c2"))
-    value = F.struct("v1", "v2")
-    mixed = written(values.groupBy("c1", "c2").agg(F.min(value).alias("a"), F.max(value).alias("b")).where("a <> b").select("c1", "c2"), "mixed")
+    ends = [f(c).alias(f"{n}_{c}") for c in ("v1", "v2") for n, f in (("low", F.min), ("high", F.max))]
+    mixed = written(values.groupBy("c1", "c2").agg(*ends).where("low_v1 <> high_v1 or low_v2 <> high_v2").select("c1", "c2"), "mixed")
     kept = written(values.join(F.broadcast(mixed) if small(mixed, sent_rows) else mixed, ["c1", "c2"], "left_semi").distinct(), "looking")
     kinds = kept.select("c1", "c2", "v1", "v2").distinct()
     pairs = kinds.join(kinds.select("c1", "c2", F.col("v1").alias("w1"), F.col("v2").alias("w2")), ["c1", "c2"]).where("struct(v1, v2) < struct(w1, w2)")
