@@ -132,6 +132,13 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small(df) else df
 
 
+def _of_several(rows: DataFrame, name: str) -> DataFrame:
+    """Values that more than one class has. Two 64-bit hashes of the class stand for it, so the aggregate hashes too."""
+    own = [F.xxhash64("cls").alias("c1"), F.xxhash64("cls", F.lit(1)).alias("c2")]
+    ends = [f(c).alias(f"{n}_{c}") for c in ("c1", "c2") for n, f in (("low", F.min), ("high", F.max))]
+    return rows.select(name, *own).groupBy(name).agg(*ends).where("low_c1 <> high_c1 or low_c2 <> high_c2").select(name)
+
+
 def repeated(marks: DataFrame, least: int) -> DataFrame:
     """``cls, at, h`` of the windows of the longest level that different texts share, level by level.
 
@@ -141,7 +148,7 @@ def repeated(marks: DataFrame, least: int) -> DataFrame:
     names = [f"h{k}" for k in range(len(levels(least)))]
     rows = marks.select("cls", F.explode(F.arrays_zip("at", *names)).alias("m")).select("cls", *[F.col(f"m.{c}").alias(c) for c in ("at", *names)])
     for k, name in enumerate(names):
-        twice = written(rows.groupBy(name).agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select(name), "twice")
+        twice = written(_of_several(rows, name), "twice")
         rows = written(rows.join(_bounded(twice), name, "left_semi").select("cls", "at", *names[k:]).dropDuplicates(["cls", "at"]), "windows")
         if rows.isEmpty():
             break
@@ -239,7 +246,7 @@ def shared_lengths(df: DataFrame, key: str, text: str, least: int = 300) -> Data
     found = repeated(marks, least)
     places = written(found.groupBy("cls").agg(F.collect_set("at").alias("places")), "places")  # as many as a text has anchors
     windows = written(places.join(_texts(df, key, text, marks, places.select("cls")), "cls").select("cls", "text", "places").mapInArrow(_region_windows(least), "cls binary, at int, h bigint"), "windows")
-    twice = written(windows.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("h"), "twice")
+    twice = written(_of_several(windows, "h"), "twice")
     covered = windows.join(_bounded(twice), "h", "left_semi").select("cls", "at").distinct()
     last = F.lag("at").over(W.partitionBy("cls").orderBy("at"))
     part = covered.withColumn("new", F.least(F.lit(least), F.coalesce(F.col("at") - last, F.lit(least)))).groupBy("cls").agg(F.sum("new").alias("part"))
