@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ GROUP_TEXTS = 4096
 BLOCKS = 1 << 14
 #: Bits of a fingerprint for so many runs at most; four times as many for four times the runs.
 BITS, RUNS = 256, 160
+#: Bytes of text that are signed at a time.
+PORTION = 4 << 20
 #: Bit planes between two looks at which blocks are out of reach.
 STEP = 32
 
@@ -92,9 +95,17 @@ def fingerprints(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return out
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``PORTION`` bytes of text, a longer text alone."""
+    ends = np.cumsum(pc.binary_length(batch["text"]).fill_null(0).to_numpy(zero_copy_only=False)) // PORTION
+    cuts = np.r_[0, np.flatnonzero(np.diff(ends)) + 1, batch.num_rows] if batch.num_rows else np.zeros(0, int)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(int(a), int(b - a))
+
+
 def _signing(run: int, least_words: int, least: float, repairs: dict[str, str]):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _portions(whole)):
             texts = [WORD.findall(one_form(t or "", repairs).lower()) for t in batch["text"].to_pylist()]
             long = np.array([len(w) >= max(least_words, run) for w in texts], bool)
             kept = [w for w, x in zip(texts, long, strict=True) if x]
