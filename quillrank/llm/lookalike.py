@@ -80,6 +80,9 @@ def folded(text: str) -> str:
     """Compatibility forms as ordinary characters, accents composed, nothing without width, single spaces."""
     if not _UNTIDY.search(text):
         return text
+    flat = " ".join(text.split())
+    if not _UNTIDY.search(flat):
+        return flat
     if text.isascii():
         return " ".join(_LOW.sub("", text).split())
     text = unicodedata.normalize("NFKC", text.translate(_UNSEEN)).translate(_UNSEEN)
