@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quillrank.llm.lookalike import LATIN_TWINS, SENT_ROWS, folded, small
 from quillrank.runtime import written
 
-#: Phrases in one automaton; a larger dictionary is searched block by block.
+#: Phrases in one automaton; a larger dictionary is searched block by block. Phrases of the same words stay in one block.
 BLOCK_PHRASES = 200_000
 #: Words a model's name may have.
 NAME_WORDS = 4
@@ -362,7 +362,7 @@ def _finding(phrases: tuple[tuple[str, str], ...]):
         automaton = _automaton(phrases)
         for batch in batches:
             cols = {c: batch[c].to_pylist() for c in ("maker", "installment", "text")}
-            makers, names, sizes, parts = [], [], [], []
+            makers, names, sizes, places, parts = [], [], [], [], []
             for brand, part, text in zip(cols["maker"], cols["installment"], cols["text"], strict=True):
                 line = f" {text} "
                 best = None
@@ -371,15 +371,17 @@ def _finding(phrases: tuple[tuple[str, str], ...]):
                         if owner == brand or (brand is None and (len(owners) == 1 or f" {owner} " in line.replace(" | ", " "))):
                             after = line[end + 1 :].split(" ", 1)[0]
                             # Longest first, then the longer maker, then the one that comes first.
-                            rank = (-size, -len(owner), end - len(turned), name)
+                            rank = (-size, -len(owner), end - len(turned), name, owner)
                             if best is None or rank < best[0]:
                                 best = (rank, owner, name, number(after))
                 makers.append(best and best[1])
                 names.append(best and best[2])
                 sizes.append(best and -best[0][0])
+                places.append(best and best[0][2])
                 parts.append(part or (best and best[3]))
             yield pa.RecordBatch.from_arrays(
-                [batch["key"], pa.array(makers, pa.string()), pa.array(names, pa.string()), pa.array(sizes, pa.int32()), pa.array(parts, pa.string())], names=["key", "owner", "name", "size", "part"]
+                [batch["key"], pa.array(makers, pa.string()), pa.array(names, pa.string()), pa.array(sizes, pa.int32()), pa.array(places, pa.int32()), pa.array(parts, pa.string())],
+                names=["key", "owner", "name", "size", "place", "part"],
             )
 
     return run
@@ -443,23 +445,27 @@ def product_keys(df: DataFrame, key: str, title: str, features: str, details: st
     kind = rows.schema["key"].dataType.simpleString()
     fields = ", ".join(f"{f} string" for f in _FIELDS if f != "rest")
     read = written(rows.mapInArrow(_reading(mined_words(rows)), f"key {kind}, {fields}, model string"), "listings")
-    dictionary = written(read.where("model is not null and kind is not null").groupBy("maker", "model").agg(F.count(F.lit(1)).alias("support")).select("maker", "model"), "phrases")
+    models = read.where("model is not null and kind is not null").select("maker", "model").distinct()
+    # Phrases of the same words together: whether a phrase has one maker is then seen in its block.
+    bag = F.array_join(F.array_sort(F.split("model", " ")), " ").alias("bag")
+    dictionary = written(models.groupBy(bag).agg(F.collect_list(F.struct("maker", "model")).alias("phrases")), "phrases")
     blocks, block = [], []
 
     def search(phrases: list[tuple[str, str]]) -> DataFrame:
-        return read.select("key", "maker", "installment", "text").mapInArrow(_finding(tuple(phrases)), f"key {kind}, owner string, name string, size int, part string").where("name is not null")
+        return read.select("key", "maker", "installment", "text").mapInArrow(_finding(tuple(phrases)), f"key {kind}, owner string, name string, size int, place int, part string").where("name is not null")
 
     for r in dictionary.toLocalIterator():  # one block of bounded size after the other
-        block.append((r["maker"], r["model"]))
-        if len(block) == block_phrases:
+        more = [(p["maker"], p["model"]) for p in r["phrases"]]
+        if block and len(block) + len(more) > block_phrases:
             blocks.append(search(block))
             block = []
+        block += more
     blocks.append(search(block))
     found = blocks[0]
     for b in blocks[1:]:
         found = found.unionByName(b)
-    if len(blocks) > 1:
-        found = found.groupBy("key").agg(F.min(F.struct((-F.col("size")).alias("s"), (-F.length("owner")).alias("l"), "name", "owner", "part", "size")).alias("b")).select("key", "b.owner", "b.name", "b.size", "b.part")
+    if len(blocks) > 1:  # by the rank that decides inside a block
+        found = found.groupBy("key").agg(F.min(F.struct((-F.col("size")).alias("s"), (-F.length("owner")).alias("l"), "place", "name", "owner", "part")).alias("b")).select("key", "b.owner", "b.name", "b.part")
     stated = read.select(F.col("key").alias("__key"), "kind", "line", *PROPERTIES)
     whole = found.join(stated, F.col("key") == F.col("__key"))
     keys = whole.select("key", F.col("owner").alias("maker"), "name", "kind", F.coalesce("part", F.lit("1")).alias("installment"), "line", *PROPERTIES).where("kind is not null")

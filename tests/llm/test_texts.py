@@ -193,3 +193,23 @@ def test_products(spark):
     sizes = {r.key: r.listings for r in products.product_groups(df, "item_id", "title", "f", "d", "brand").collect()}
     assert sizes["a"] == 3 and sizes["d"] == 1 and "h" not in sizes
     assert products.same_products(df.limit(0), "item_id", "title", "f", "d", "brand").count() == 0
+
+
+def test_blocks_of_phrases_change_nothing(spark):
+    card = lambda maker: {"Brand": maker, "Item Type": "memory card"}
+    data = [
+        listing("a", "Brask Lilunazi Tactics memory card", None, card("Brask")),
+        listing("b", "Tavroson Lilunazi Tactics memory card", None, card("Tavroson")),
+        listing("c", "Tavrosonic Tactics Lilunazi memory card", None, card("Tavrosonic")),
+        listing("d", "Lilunazi Tactics memory card by Brask"),  # shared by three makers, names one
+        listing("e", "Lilunazi Tactics memory card"),  # names none: not identified
+        listing("f", "Corvu Zusano Quest memory card", None, card("Corvu")),
+        listing("g", "Delmo Abari Racing memory card", None, card("Delmo")),
+        listing("h", "Zusano Quest and Abari Racing memory card"),  # equal matches: the first in the text
+    ]
+    df = spark.createDataFrame(data, SCHEMA)
+    for block in (1, 2, 200_000):
+        keys = {r.key: (r.maker, r.name) for r in products.product_keys(df, "item_id", "title", "f", "d", "brand", block).collect()}
+        assert keys["d"] == keys["a"] == ("brask", "lilunazi tactics") and "e" not in keys
+        assert keys["h"] == keys["f"] == ("corvu", "quest zusano")
+        assert sorted(tuple(r) for r in products.same_products(df, "item_id", "title", "f", "d", "brand", block).collect()) == [("a", "d"), ("f", "h")]
