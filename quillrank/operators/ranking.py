@@ -18,6 +18,8 @@ MS_PER_DAY = 86_400_000
 CHUNK_LIKES = 500
 #: Edges that one Python worker may hold for the methods that need the whole graph.
 WORKER_EDGES = 20_000_000
+#: Times a drawn item that is in the user's history is drawn again before it is drawn from the others only.
+REDRAWS = 20
 
 
 def edges(clean: DataFrame, cutoff: int, threshold: float = 4.0) -> DataFrame:
@@ -299,48 +301,59 @@ def walks(users: DataFrame, edge: DataFrame, k: int, damping: float = 0.85, limi
     return _wanted(users, edge).mapInPandas(run, "user_id string, rank int, item_id string, score double")
 
 
-def factors(edge: DataFrame, dimensions: int = 16, rate: float = 0.01, regularization: float = 1e-4, epochs: int = 10, batch: int = 1024, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def factors(edge: DataFrame, dimensions: int = 64, rate: float = 0.001, regularization: float = 1e-4, epochs: int = 50, batch: int = 1024, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """User and item factors of pairwise ranking: ``user_id, vector`` and ``item_id, bias, vector``.
 
     Each pass draws, for every liked edge, one item outside the user's history and moves both by the gradient of
-    the logistic of their difference; updates of a batch are summed. Training is sequential by nature, so it runs in one
+    the logistic of their difference; updates of a batch are summed. Users who like nothing have no factors. Training is sequential by nature, so it runs in one
     worker and is refused above ``WORKER_EDGES`` edges; for more, ``pyspark.ml.recommendation.ALS`` is the distributed choice.
     """
     if edge.limit(WORKER_EDGES + 1).count() > WORKER_EDGES:
         raise ValueError(f"more than {WORKER_EDGES} edges: use a distributed factorisation")
 
     def train(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["user_id", "item_id"])
-        names, u = np.unique(frame["user_id"].to_numpy(str), return_inverse=True)
-        items, i = np.unique(frame["item_id"].to_numpy(str), return_inverse=True)
-        rng = np.random.default_rng(seed)
-        users_f, items_f, bias = rng.normal(0, 0.01, (len(names), dimensions)), rng.normal(0, 0.01, (len(items), dimensions)), np.zeros(len(items))
-        history = np.sort(u.astype(np.int64) * len(items) + i)
-        full = np.bincount(u, minlength=len(names)) >= len(items)
-        liked = frame["positive"].to_numpy(bool) & ~full[u]
-        pu, pi = u[liked], i[liked]
+        u, names = pd.factorize(frame["user_id"], sort=True)
+        i, items = pd.factorize(frame["item_id"], sort=True)
+        order = np.lexsort((i, u))
+        u, i, liked = u[order].astype(np.int64), i[order].astype(np.int64), frame["positive"].to_numpy(bool)[order]
+        liking, rng = np.unique(u[liked]), np.random.default_rng(seed)
+        row = np.full(len(names), -1)
+        row[liking] = np.arange(len(liking))
+        users_f, items_f, bias = rng.normal(0, 0.01, (len(liking), dimensions)), rng.normal(0, 0.01, (len(items), dimensions)), np.zeros(len(items))
+        history, count = u * len(items) + i, np.bincount(u, minlength=len(names))
+        liked &= count[u] < len(items)
+        pu, pi, places = u[liked], i[liked], np.arange(dimensions)
+
+        def add(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+            """np.add.at for rows; flat places are several times as fast and add in the same order."""
+            np.add.at(to.reshape(-1), (rows[:, None] * dimensions + places).ravel(), values.ravel())
+
         for _ in range(epochs):
             order = rng.permutation(len(pu))
             for begin in range(0, len(order), batch):
                 a, b = pu[order[begin : begin + batch]], pi[order[begin : begin + batch]]
-                c = rng.integers(0, len(items), len(a))
-                while True:
-                    key = a * len(items) + c
-                    at = np.minimum(np.searchsorted(history, key), len(history) - 1)
-                    bad = np.flatnonzero(history[at] == key)
+                c, bad = rng.integers(0, len(items), len(a)), np.arange(len(a))
+                for _ in range(REDRAWS):
+                    key = a[bad] * len(items) + c[bad]
+                    bad = bad[history[np.minimum(np.searchsorted(history, key), len(history) - 1)] == key]
                     if not len(bad):
                         break
                     c[bad] = rng.integers(0, len(items), len(bad))
+                for at in bad:  # nearly all items are in the history: draw from what is left
+                    begin_u, end_u = np.searchsorted(history, [a[at] * len(items), (a[at] + 1) * len(items)])
+                    left = np.setdiff1d(np.arange(len(items)), i[begin_u:end_u], assume_unique=True)
+                    c[at] = left[int(rng.integers(len(left)))]
+                a = row[a]
                 x, y, z = users_f[a], items_f[b], items_f[c]
-                pull = 1 / (1 + np.exp(np.clip(bias[b] - bias[c] + ((y - z) * x).sum(axis=1), -50, 50)))
+                pull = 1 / (1 + np.exp(np.clip(bias[b] - bias[c] + np.einsum("ij,ij->i", x, y - z), -50, 50)))
                 w = pull[:, None]
-                np.add.at(users_f, a, rate * (w * (y - z) - regularization * x))
-                np.add.at(items_f, b, rate * (w * x - regularization * y))
-                np.add.at(items_f, c, rate * (-w * x - regularization * z))
+                add(users_f, a, rate * (w * (y - z) - regularization * x))
+                add(items_f, b, rate * (w * x - regularization * y))
+                add(items_f, c, rate * (-w * x - regularization * z))
                 np.add.at(bias, b, rate * (pull - regularization * bias[b]))
                 np.add.at(bias, c, rate * (-pull - regularization * bias[c]))
         return pd.concat([
-            pd.DataFrame({"side": "user", "id": names, "bias": 0.0, "vector": list(users_f)}),
+            pd.DataFrame({"side": "user", "id": names[liking], "bias": 0.0, "vector": list(users_f)}),
             pd.DataFrame({"side": "item", "id": items, "bias": bias, "vector": list(items_f)}),
         ])
 
@@ -352,7 +365,7 @@ def factors(edge: DataFrame, dimensions: int = 16, rate: float = 0.01, regulariz
 def factor_top(users: DataFrame, edge: DataFrame, model: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
     """``user_id, rank, item_id, score``: each user's best unseen items by factors.
 
-    The stated users are scored against all items in blocks: item factors are cut into blocks of a fixed size,
+    The stated users are scored, 256 at a time, against all items in blocks: item factors are cut into blocks of a fixed size,
     each block is held by one worker call at a time, and only the best ``k`` of a block go on.
     """
     user_f, item_f = model
@@ -366,7 +379,7 @@ def factor_top(users: DataFrame, edge: DataFrame, model: tuple[DataFrame, DataFr
         bias, matrix = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
+            for frame in (whole[at : at + 256] for whole in frames for at in range(0, len(whole), 256)):
                 total = bias + np.array(frame["vector"].tolist()) @ matrix.T
                 out = []
                 for user, seen, line in zip(frame["user_id"], frame["seen"], total, strict=True):

@@ -118,6 +118,56 @@ def test_factors_are_repeatable(spark, clean):
     assert a == b and a
 
 
+def test_factors_equal_plain_training(spark):
+    """With the defaults, against training row by row with the same draws: 64 dimensions, rate 0.001, 50 passes."""
+    data = seeded(400, 30, 12) + [(f"n{k}", "sour", f"i{k:02d}", 1.0, 5) for k in range(1, 4)] + [(f"f{k}", "full", f"i{k:02d}", 5.0, 5) for k in range(1, 12)]
+    edge = ranking.edges(snapshot.events(spark.createDataFrame(data, EVENTS)), 90).cache()
+    rows = sorted((r.user_id, r.item_id, r.positive) for r in edge.collect())
+    items, liking = sorted({i for _, i, _ in rows}), sorted({u for u, _, p in rows if p})
+    seen = defaultdict(set)
+    for u, i, _ in rows:
+        seen[u].add(items.index(i))
+    rng = np.random.default_rng(7)
+    x = dict(zip(liking, rng.normal(0, 0.01, (len(liking), 64)), strict=True))
+    y, bias = rng.normal(0, 0.01, (len(items), 64)), np.zeros(len(items))
+    pairs = [(u, items.index(i)) for u, i, p in rows if p and len(seen[u]) < len(items)]
+    assert "full" in liking and len(seen["full"]) == len(items) and "sour" not in liking and len(pairs) < 1024
+    for _ in range(50):
+        batch = [pairs[n] for n in rng.permutation(len(pairs))]
+        drawn = rng.integers(0, len(items), len(batch))
+        for _ in range(20):
+            bad = [n for n, (u, _) in enumerate(batch) if drawn[n] in seen[u]]
+            if not bad:
+                break
+            drawn[bad] = rng.integers(0, len(items), len(bad))
+        for n in bad:
+            left = [i for i in range(len(items)) if i not in seen[batch[n][0]]]
+            drawn[n] = left[int(rng.integers(len(left)))]
+        new_x, new_y, add = {u: v.copy() for u, v in x.items()}, y.copy(), np.zeros(len(items))
+        less, own = np.zeros(len(items)), bias.copy()
+        pulls = [1 / (1 + math.exp(bias[b] - bias[c] + x[u] @ (y[b] - y[c]))) for (u, b), c in zip(batch, drawn, strict=True)]
+        for (u, b), c, pull in zip(batch, drawn, pulls, strict=True):
+            new_x[u] += 0.001 * (pull * (y[b] - y[c]) - 1e-4 * x[u])
+            new_y[b] += 0.001 * (pull * x[u] - 1e-4 * y[b])
+            new_y[c] += 0.001 * (-pull * x[u] - 1e-4 * y[c])
+            add[b] += 0.001 * (pull - 1e-4 * own[b])
+        bias = own + add
+        for (_, _), c, pull in zip(batch, drawn, pulls, strict=True):
+            less[c] += 0.001 * (-pull - 1e-4 * bias[c])
+        x, y, bias = new_x, new_y, bias + less
+    user_f, item_f = ranking.factors(edge)
+    got = {r.user_id: r.vector for r in user_f.collect()}
+    assert sorted(got) == liking
+    np.testing.assert_allclose([got[u] for u in liking], [x[u] for u in liking], atol=1e-10)
+    items_got = sorted((r.item_id, r.bias, r.vector) for r in item_f.collect())
+    np.testing.assert_allclose([r[1] for r in items_got], bias, atol=1e-10)
+    np.testing.assert_allclose([r[2] for r in items_got], y, atol=1e-10)
+    users = edge.select("user_id").distinct()
+    top = ranking.with_fallback(ranking.factor_top(users, edge, (user_f, item_f), 3), users, edge, 90, 3, None).where("user_id = 'sour'").collect()
+    assert len(top) == 3 and {r.fallback_reason for r in top} == {"no_positive_history"}
+    assert ranking.factors(edge.where("not positive"))[0].count() == 0
+
+
 def test_percentile_and_min_max(spark):
     df = spark.createDataFrame([("g", "a", 1.0), ("g", "b", 2.0), ("g", "c", 2.0), ("g", "d", 4.0), ("h", "a", 3.0), ("h", "b", 3.0)], "g string, i string, s double")
     got = {(r.g, r.i): (r.p, r.m) for r in df.select("g", "i", normalise.percentile(df["s"], ["g"]).alias("p"), normalise.min_max(df["s"], ["g"]).alias("m")).collect()}
