@@ -93,12 +93,16 @@ def suspects(text: str) -> list[tuple[str, str]]:
     """(token, repaired) of a folded text, in order of preference: what look-alikes could stand for.
 
     A token with letters of several scripts, or written only in letters that are foreign to the text
-    and all have twins, is rewritten in the text's dominant script, else in its own dominant script.
+    and all have twins, is rewritten in the text's dominant script, in its own dominant script, in Latin and in
+    each other script it has letters of. Look-alikes alone make no script dominant: a text that has only such
+    letters of it counts as Latin.
     """
     if text.isascii() or not _FOREIGN.search(text):
         return []
     whole = Counter(filter(None, map(_script, text)))
     home = max("LCGA", key=lambda s: whole[s])
+    if home != "L" and all(c in LATIN_TWINS for c in text if _script(c) == home):
+        home = "L"
     out = {}
     for m in _TOKEN.finditer(text):
         token = m[0]
@@ -107,7 +111,7 @@ def suspects(text: str) -> list[tuple[str, str]]:
         own = Counter(filter(None, map(_script, token)))
         if set(own) <= {home}:
             continue
-        for target in dict.fromkeys((home, max("LCGA", key=lambda s: own[s]))):
+        for target in dict.fromkeys((home, max("LCGA", key=lambda s: own[s]), "L", *(s for s in "CGA" if own[s]))):
             twin = _TO[target]
             fixed = "".join(c if not (s := _script(c)) or s == target else twin.get(c, "") or "\0" for c in token)
             if "\0" not in fixed and fixed != token:

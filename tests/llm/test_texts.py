@@ -37,6 +37,18 @@ def test_unified(spark, sent):
     assert lookalike.unified(df.limit(0), "t", "out").count() == 0
 
 
+def test_more_look_alikes_than_latin_letters(spark):
+    clean = ["CONTROLLER", "XBOX CONTROLLER", "CONTROLLER для дома"]
+    odd = ["СОΝТRОLLЕR", "ХВОХ СОΝТRОLLЕR", "СОΝТRОLLЕR для дома"]  # Cyrillic, one Greek letter, Latin R and L
+    assert all(sum("\u0400" <= c < "\u0500" for c in t) > sum("A" <= c <= "Z" for c in t) for t in odd)
+    genuine = ["тот рост у нас", "это а не то"]  # letters like Latin ones in a Cyrillic text stay
+    texts = [*clean, *odd, *genuine, "a y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = [r.out for r in sorted(lookalike.unified(df, "t", "out").collect())]
+    assert got == [*clean, *clean, *genuine, "a y"]
+    assert sorted(tuple(r) for r in lookalike.equal_looking(df, "k", "t", []).collect()) == [(0, 3), (1, 4), (2, 5)]
+
+
 def test_equal_looking_pairs(spark):
     data = [("a", "i", "Good game"), ("b", "i", "Good game"), ("c", "i", "Good game"), ("d", "j", "Good  game"), ("e", "i", "good game"), ("f", "i", "​"), ("g", "i", None), ("a", "i", "Good game"), (None, "i", "Good game")]
     df = spark.createDataFrame(data, "k string, s string, t string")
