@@ -18,7 +18,7 @@ from quillrank.runtime import written
 
 #: Phrases in one automaton; a larger dictionary is searched block by block. Phrases of the same words stay in one block.
 BLOCK_PHRASES = 200_000
-#: Words a model's name may have.
+#: Words a model's name may have that is only what is left of a title; the line "name kind from maker" bounds its name itself.
 NAME_WORDS = 4
 
 # The catalogue's own words.
@@ -244,7 +244,7 @@ def _parse(title: str | None, features: str | None, details: str | None, brand:
     for line in lines:
         said = tokens(line)
         kind, a, b = phrase_of(said, _KIND_WORDS)
-        if kind and 0 < a <= NAME_WORDS and said[b : b + 1] == ["from"] and len(said) > b + 1 and "|" not in said:
+        if kind and a > 0 and said[b : b + 1] == ["from"] and len(said) > b + 1 and "|" not in said:
             out["maker"] = out["maker"] or maker(" ".join(said[b + 1 :]))
             out["kind"] = out["kind"] or kind
             out["said"] = " ".join(said[:a])

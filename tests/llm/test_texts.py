@@ -225,3 +225,13 @@ def test_blocks_of_phrases_change_nothing(spark):
         assert keys["d"] == keys["a"] == ("brask", "lilunazi tactics") and "e" not in keys
         assert keys["h"] == keys["f"] == ("corvu", "quest zusano")
         assert sorted(tuple(r) for r in products.same_products(df, "item_id", "title", "f", "d", "brand", block).collect()) == [("a", "d"), ("f", "h")]
+
+
+def test_names_of_many_words(spark):
+    data = [
+        listing("a", "Corvu The Long Lost Zusano Quest memory card", ["The Long Lost Zusano Quest memory card from Corvu"], None),
+        listing("b", "The Long Lost Zusano Quest memory card by Corvu", None, None),
+        listing("c", "Zusano Quest memory card by Corvu", None, {"Brand": "Corvu", "Item Type": "memory card"}),
+    ]
+    df = spark.createDataFrame(data, SCHEMA)
+    assert sorted(tuple(r) for r in products.same_products(df, "item_id", "title", "f", "d", "brand").collect()) == [("a", "b")]
