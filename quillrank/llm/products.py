@@ -420,7 +420,7 @@ def _completed(keys: DataFrame) -> DataFrame:
         agrees = agrees & (F.col(f"p_{p}").isNull() | (F.col(f"p_{p}") == F.col(f"v.{p}")))
     only = lambda rows: rows.where(agrees).groupBy("key").agg(F.min("v").alias("v"), F.count_distinct("v").alias("n")).where("n = 1").select("key", "v")
     fuller = only(part.join(full.drop("line").distinct(), group))
-    twins = only(part.join(full, [*group, "line"]))
+    twins = only(part.join(full.distinct(), [*group, "line"]))
     one = written(fuller.withColumn("first", F.lit(0)).unionByName(twins.withColumn("first", F.lit(1))).groupBy("key").agg(F.min_by("v", "first").alias("v")), "completed")
     joined = keys.drop("line").join(F.broadcast(one) if small(one) else one, "key", "left")
     return joined.select("key", *group, *[F.coalesce(F.col(p), F.col(f"v.{p}")).alias(p) for p in PROPERTIES])

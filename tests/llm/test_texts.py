@@ -235,3 +235,12 @@ def test_names_of_many_words(spark):
     ]
     df = spark.createDataFrame(data, SCHEMA)
     assert sorted(tuple(r) for r in products.same_products(df, "item_id", "title", "f", "d", "brand").collect()) == [("a", "b")]
+
+
+def test_full_listings_are_distinct_before_they_meet_partial_ones(spark, monkeypatch):
+    plans, written = {}, products.written
+    monkeypatch.setattr(products, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().analyzed().toString()}) or written(df, name))
+    card = {"Brand": "Corvu", "Item Type": "memory card"}
+    data = [listing(f"k{n}", "Zusano Quest memory card by Corvu", None, {**card, "Color": "red"}) for n in range(3)] + [listing("p", "Zusano Quest memory card by Corvu", None, card)]
+    assert products.same_products(spark.createDataFrame(data, SCHEMA), "item_id", "title", "f", "d", "brand").count() == 6
+    assert plans["completed"].count("Deduplicate") == 2
