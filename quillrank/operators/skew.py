@@ -1,4 +1,4 @@
-"""Per-key aggregates when a handful of keys hold most of the rows."""
+"""Per-key aggregates and ranks when a handful of keys hold most of the rows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillrank.runtime import written
+from quillrank.runtime import bounded, partitions, written
 
 #: Rows of one key that a single task may hold.
 CHUNK_ROWS = 1 << 16
@@ -27,11 +27,44 @@ def _placed(df: DataFrame, columns: list[Column], rows: int) -> DataFrame:
     return at.withColumn("__part", F.xxhash64("__file", F.floor(F.col("__row") / F.lit(rows)))).drop("__file")
 
 
+def _keyed(df: DataFrame, key_columns: list[str], value: str, chunk_rows: int) -> DataFrame:
+    """``value, __part, __row, key_name, code`` of every row, once per key column. ``code`` is never NULL."""
+    codes = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("~")).alias(f"k{i}") for i, k in enumerate(key_columns)]
+    placed = _placed(df, [F.col(value).cast("double").alias("value"), *codes], chunk_rows)
+    keys = F.array(*[F.struct(F.lit(k).alias("key_name"), F.col(f"k{i}").alias("code")) for i, k in enumerate(key_columns)])
+    return placed.select("value", "__part", "__row", F.inline(keys))
+
+
+def _key_value() -> Column:
+    return F.when(F.col("code") != "~", F.substring("code", 2, 1 << 30)).alias("key_value")
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    number = F.when(~F.isnan("value"), F.col("value"))
+    return rows.groupBy("key_name", "code").agg(F.count(F.lit(1)).alias("n_rows"), F.count(number).alias("n_values"), F.sum(number).alias("total"))
+
+
+def _numbered(rows: DataFrame, long_keys: DataFrame) -> DataFrame:
+    """``key_name, code, value, position`` of the rows of the long keys; positions of a key run from 0 without a gap."""
+    named = long_keys.select("key_name", "code").withColumn("id", F.xxhash64("key_name", "code"))
+    own = rows.join(bounded(named), ["key_name", "code"])
+    counts = own.groupBy("key_name", "code", "id", "__part").agg(F.count(F.lit(1)).alias("held"))
+    before = W.partitionBy("key_name", "code").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(F.col("key_name").alias("o_name"), F.col("code").alias("o_code"), F.col("id").alias("o_id"), F.col("__part").alias("o_part"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"))
+    inside = W.partitionBy("id", "__part").orderBy("key_name", "code", "__row")
+    narrow = own.select("id", "key_name", "code", "__part", "__row", "value")
+    # Rows are sorted by (id, part) for their number; the offsets join on the same keys, so only they move.
+    ranked = narrow.withColumn("inside", F.row_number().over(inside) - 1)
+    same = (F.col("id") == F.col("o_id")) & (F.col("__part") == F.col("o_part")) & (F.col("key_name") == F.col("o_name")) & (F.col("code") == F.col("o_code"))
+    return ranked.join(offsets, same).select("key_name", "code", "value", (F.col("inside") + F.col("offset")).alias("position"))
+
+
 def keyed_chunks(df: DataFrame, key_columns: list[str], value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Every row once per key column, numbered exactly within its key and cut into equal chunks.
+    """Every row once per key column, the rows of long keys numbered exactly and cut into equal chunks.
 
-    Result: ``key_name, key_value, value, position, chunk``. Positions of a key run from 0 without
-    a gap, so each chunk but a key's last holds exactly ``chunk_rows`` rows.
+    Result: ``key_name, key_value, value, position, chunk``. A key of at most ``chunk_rows`` rows is one chunk and its rows
+    need no number (NULL). Positions of a longer key run from 0 without a gap, so each of its chunks but the last holds
+    exactly ``chunk_rows`` rows.
 
     Counts per (key, input partition) are made before anything moves; their running sum over a
     key's partitions gives the offset of each partition's first row. Rows then only need their
@@ -39,71 +72,49 @@ def keyed_chunks(df: DataFrame, key_columns: list[str], value: str, chunk_rows:
     tasks as the input has partitions. NULL keys are numbered like any other key; an empty input
     gives an empty result; further columns are dropped.
     """
-    named = [F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(key_columns)]
-    placed = _placed(df, [F.col(value).cast("double").alias("value"), *named], chunk_rows)
-    keys = F.array(*[F.struct(F.lit(k).alias("key_name"), F.col(f"k{i}").alias("key_value")) for i, k in enumerate(key_columns)])
-    rows = placed.select("value", "__part", "__row", F.inline(keys))
-    own = ["key_name", "key_value"]
-
-    counts = rows.groupBy(*own, "__part").agg(F.count(F.lit(1)).alias("held"))
-    before = W.partitionBy(*own).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    total = W.partitionBy(*own)
-    offsets = (
-        counts.withColumn("offset", F.coalesce(F.sum("held").over(before), F.lit(0)))
-        .withColumn("all", F.sum("held").over(total))
-        .where(F.col("all") > chunk_rows)  # shorter keys are one chunk whatever their order
-        .select(F.col("key_name").alias("o_name"), F.col("key_value").alias("o_value"), F.col("__part").alias("o_part"), "offset")
-    )
-    inside = W.partitionBy(*own, "__part").orderBy("__row")
-    numbered = rows.withColumn("inside", F.row_number().over(inside) - 1)
-    same = (F.col("key_name") == F.col("o_name")) & F.col("key_value").eqNullSafe(F.col("o_value")) & (F.col("__part") == F.col("o_part"))
-    placed_rows = numbered.join(offsets, same, "left").withColumn("position", F.col("inside") + F.coalesce("offset", F.lit(0)))
-    long_key = F.col("offset").isNotNull()
-    return placed_rows.select(
-        *own,
-        "value",
-        F.when(long_key, F.col("position")).alias("position"),
-        F.when(long_key, F.floor(F.col("position") / chunk_rows)).otherwise(F.lit(0)).alias("chunk"),
-    )
-
-
-def _value(kind: Column, column: str) -> Column:
-    return F.when(kind, F.col(column))
+    rows = _keyed(df, key_columns, value, chunk_rows)
+    totals = written(_totals(rows), "totals")
+    long_keys = totals.where(F.col("n_rows") > chunk_rows)
+    short = rows.join(bounded(long_keys.select("key_name", "code")), ["key_name", "code"], "left_anti")
+    few = short.select("key_name", _key_value(), "value", F.lit(None).cast("long").alias("position"), F.lit(0).cast("long").alias("chunk"))
+    many = _numbered(rows, long_keys).select("key_name", _key_value(), "value", "position", F.floor(F.col("position") / chunk_rows).alias("chunk"))
+    return few.unionByName(many)
 
 
 def per_key_stats(df: DataFrame, key_columns: list[str], value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Rows, valued rows and mean of ``value`` for each value of each key column.
 
-    Result: ``key_name, key_value, n_rows, n_values, mean_value, n_chunks``. Each (key, chunk) is
+    Result: ``key_name, key_value, n_rows, n_values, mean_value, n_chunks``. Keys of at most ``chunk_rows`` rows are
+    aggregated at once. The rows of longer keys are numbered exactly and each (key, chunk) is
     reduced to a boundary state (rows, sum, first and last position); the states of a key are then
     merged, and the merge fails if they leave a gap or overlap. Values that are NULL or NaN count
     as rows but not as values; NULL is a key of its own; redelivered rows count as stored.
     """
+    rows = _keyed(df, key_columns, value, chunk_rows)
+    totals = written(_totals(rows), "totals")
+    few = totals.where(F.col("n_rows") <= chunk_rows).withColumn("n_chunks", F.lit(1).cast("long"))
     number = F.when(~F.isnan("value"), F.col("value"))
-    states = keyed_chunks(df, key_columns, value, chunk_rows).groupBy("key_name", "key_value", "chunk").agg(
+    numbered = _numbered(rows, totals.where(F.col("n_rows") > chunk_rows)).withColumn("chunk", F.floor(F.col("position") / chunk_rows))
+    states = numbered.groupBy("key_name", "code", "chunk").agg(
         F.count(F.lit(1)).alias("n"),
         F.count(number).alias("n_values"),
         F.sum(number).alias("total"),
         F.min("position").alias("first"),
         F.max("position").alias("last"),
     )
-    merged = states.groupBy("key_name", "key_value").agg(
-        F.sum("n").alias("n_rows"),
+    merged = states.groupBy("key_name", "code").agg(
+        F.sum("n").alias("n"),
         F.sum("n_values").alias("n_values"),
         F.sum("total").alias("total"),
         F.count(F.lit(1)).alias("n_chunks"),
         F.min("first").alias("first"),
         F.max("last").alias("last"),
+        F.every((F.col("last") - F.col("first") + 1 == F.col("n")) & (F.col("first") == F.col("chunk") * chunk_rows)).alias("whole"),
     )
-    whole = F.col("first").isNull() | ((F.col("first") == 0) & (F.col("last") + 1 == F.col("n_rows")))
-    return merged.select(
-        "key_name",
-        "key_value",
-        F.when(whole, F.col("n_rows")).otherwise(F.raise_error(F.lit("a key's chunks leave a gap"))).alias("n_rows"),
-        "n_values",
-        (F.col("total") / _value(F.col("n_values") > 0, "n_values")).alias("mean_value"),
-        "n_chunks",
-    )
+    sound = F.col("whole") & (F.col("first") == 0) & (F.col("last") + 1 == F.col("n"))
+    many = merged.withColumn("n_rows", F.when(sound, F.col("n")).otherwise(F.raise_error(F.lit("a key's chunks leave a gap"))))
+    out = few.unionByName(many.select(*few.columns))
+    return out.select("key_name", _key_value(), "n_rows", "n_values", (F.col("total") / F.when(F.col("n_values") > 0, F.col("n_values"))).alias("mean_value"), "n_chunks")
 
 
 def heavy_keys(df: DataFrame, key_columns: list[str], value: str, share: int = 20, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -114,3 +125,21 @@ def heavy_keys(df: DataFrame, key_columns: list[str], value: str, share: int = 2
     stats = per_key_stats(df, key_columns, value, chunk_rows)
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()  # one number from the files' footers
     return stats.where((F.trim("key_value") != "") & (F.col("n_rows") * share >= total)).select("key_name", "key_value")
+
+
+def positions(df: DataFrame, group: list[str], order: list[Column], name: str = "position") -> DataFrame:
+    """``df`` with ``name``: each row's number in its group, from 1, in the given total order, for groups of any size.
+
+    Rows are cut into ranges of (group, order), which are sorted side by side; a row's number is that in its range and
+    the rows of its group in the ranges before. No task holds more of a group than one range. The input is written once.
+    """
+    ranged = written(df.repartitionByRange(partitions(df.sparkSession), *group, *order).withColumn("__piece", F.spark_partition_id()), "ranges")
+    inside = F.row_number().over(W.partitionBy(*group, "__piece").orderBy(*order))
+    held = ranged.groupBy(*group, "__piece").agg(F.count(F.lit(1)).alias("__held"))
+    before = F.sum("__held").over(W.partitionBy(*group).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1))  # a row per piece
+    named = {g: f"__{i}" for i, g in enumerate(group)}
+    offset = held.select(*[F.col(g).alias(a) for g, a in named.items()], F.col("__piece").alias("__p"), F.coalesce(before, F.lit(0)).alias("__offset"))
+    same = F.col("__piece") == F.col("__p")
+    for g, a in named.items():
+        same = same & (F.col(g) == F.col(a))
+    return ranged.withColumn(name, inside).join(offset, same).withColumn(name, F.col(name) + F.col("__offset")).select(*df.columns, name)

@@ -49,3 +49,25 @@ def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert skew.per_key_stats(df, ["item_id"], "rating").count() == 0
     assert skew.heavy_keys(df, ["item_id"], "rating").count() == 0
+
+
+def test_positions_spread_one_group(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    data = [("g", rng.choice([1.0, 2.0, 2.0]), k) for k in range(4000)] + [("h", 1.0, k) for k in range(10)]
+    df = spark.createDataFrame(data, "g string, s double, i long").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        rows = skew.positions(df, ["g"], [F.col("s").desc(), F.col("i").asc()]).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = {(g, i): n for name in "gh" for n, (g, _, i) in enumerate(sorted((r for r in data if r[0] == name), key=lambda r: (-r[1], r[2])), 1)}
+    assert {(r.g, r.i): r.position for r in rows} == want
+
+
+def test_chunks_spread_one_key(spark, tmp_path):
+    data = [("u1", "hot", 1.0, "x")] * 4000
+    spark.createDataFrame(data, SCHEMA).repartition(4).write.parquet(str(tmp_path / "t"))
+    r = skew.per_key_stats(spark.read.parquet(str(tmp_path / "t")), ["item_id"], "rating", 100).first()
+    assert (r.key_value, r.n_rows, r.n_values, r.mean_value, r.n_chunks) == ("hot", 4000, 4000, 1.0, 40)
