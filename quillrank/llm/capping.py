@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillrank.operators.skew import positions
+from quillrank.runtime import bounded, written
+
 #: Pieces into which a contributor's records are spread before the final ranking.
 SALTS = 64
+#: Records of one contributor that a single task may rank.
+TASK_ROWS = 1 << 18
 
 
 def verdicts(
-    df: DataFrame, contributor: str, score: str, record: str, cap: int | None = 5, share: float | None = None, salts: int = SALTS, only: bool | None = None
+    df: DataFrame, contributor: str, score: str, record: str, cap: int | None = 5, share: float | None = None, salts: int = SALTS, only: bool | None = None, task_rows: int = TASK_ROWS
 ) -> DataFrame:
     """``record, contributor, kept`` for each distinct record that has a contributor.
 
@@ -23,8 +28,9 @@ def verdicts(
     ``only`` limits the result to the kept (True) or the dropped (False) records.
 
     Records are first ranked inside (contributor, salt), the salt being taken from the record id:
-    a record beyond the cap there is beyond it overall, so at most ``cap * salts`` records of any
-    contributor reach the second ranking.
+    a record beyond the cap there is beyond it overall, so at most ``cap`` records a salt
+    reach the second ranking. Contributors with more than ``task_rows`` rows have as many salts as keep a salt
+    below that, and what is left of them is ranked over sorted ranges, so that a large cap doesn't bring them into one task.
     """
     owned = df.where(F.col(contributor).isNotNull() & F.col(record).isNotNull())
     if share is not None:
@@ -34,27 +40,41 @@ def verdicts(
         limit = F.lit(cap)
     value = F.when(F.col(score).between(0, 1), F.col(score).cast("double") + 0.0)
     narrow = owned.select(F.col(contributor).alias("contributor"), F.col(record).alias("record"), value.alias("score"))
-    salted = narrow.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(salts)))
-    once = salted.repartition("contributor", "salt").groupBy("contributor", "salt", "record").agg(F.max("score").alias("score"))
     best = [F.col("score").desc_nulls_last(), F.col("record").asc()]
-    first = once.withColumn("at", F.row_number().over(W.partitionBy("contributor", "salt").orderBy(*best)))
-    second = first.where(F.col("at") <= limit).withColumn("at", F.row_number().over(W.partitionBy("contributor").orderBy(*best)))
-    if only is True:
-        out = second.where(F.col("at") <= limit).withColumn("kept", F.lit(True))
-    else:
-        beyond = first.where(F.col("at") > limit).withColumn("kept", F.lit(False))
+
+    def preranked(rows: DataFrame, of: object) -> DataFrame:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("record"), of))
+        once = salted.repartition("contributor", "salt").groupBy("contributor", "salt", "record").agg(F.max("score").alias("score"))
+        return once.withColumn("at", F.row_number().over(W.partitionBy("contributor", "salt").orderBy(*best)))
+
+    def verdict(first: DataFrame, again) -> DataFrame:
+        second = again(first.where(F.col("at") <= limit))
+        if only is True:
+            return second.where(F.col("at") <= limit).select("record", "contributor", F.lit(True).alias("kept"))
         ranked = second.withColumn("kept", F.col("at") <= limit)
-        out = beyond.unionByName(ranked.where(~F.col("kept")) if only is False else ranked)
-    return out.select("record", "contributor", "kept")
+        beyond = first.where(F.col("at") > limit).withColumn("kept", F.lit(False))
+        return beyond.unionByName(ranked.where(~F.col("kept")) if only is False else ranked).select("record", "contributor", "kept")
+
+    large = written(narrow.groupBy("contributor").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > task_rows), "large-contributors")
+    some = not large.isEmpty()
+    usual = narrow.join(bounded(large), "contributor", "left_anti") if some else narrow
+    out = verdict(preranked(usual, F.lit(salts)), lambda left: left.withColumn("at", F.row_number().over(W.partitionBy("contributor").orderBy(*best))))
+    if some:
+        hot = narrow.join(bounded(large), "contributor")
+        first = written(preranked(hot, F.greatest(F.lit(salts), F.ceil(F.col("held") / task_rows))), "preranked")
+        out = out.unionByName(verdict(first, lambda left: positions(left.drop("at"), ["contributor"], best, "at")))
+    return out
 
 
-def capped(df: DataFrame, contributor: str, score: str, record: str, cap: int | None = 5, share: float | None = None, salts: int = SALTS) -> DataFrame:
+def capped(df: DataFrame, contributor: str, score: str, record: str, cap: int | None = 5, share: float | None = None, salts: int = SALTS, task_rows: int = TASK_ROWS) -> DataFrame:
     """The records of ``df`` that stay, one row each, with all their columns.
 
     Rules as in :func:`verdicts`; records without a contributor stay, rows without a record id too.
-    Of copies that differ in other columns an arbitrary one stays.
+    Of copies that differ in other columns the one stays that is smallest as JSON, whatever the scheduling.
     """
-    kept = verdicts(df, contributor, score, record, cap, share, salts, only=True)
-    stay = df.join(kept, (df[record] == kept["record"]) & (df[contributor] == kept["contributor"]), "left_semi").dropDuplicates([record, contributor])
-    free = df.where(F.col(contributor).isNull())
-    return stay.unionByName(free.where(F.col(record).isNotNull()).dropDuplicates([record])).unionByName(df.where(F.col(record).isNull() & F.col(contributor).isNotNull())).unionByName(free.where(F.col(record).isNull()))
+    kept = verdicts(df, contributor, score, record, cap, share, salts, True, task_rows).select(F.col("record").alias("__record"), F.col("contributor").alias("__contributor"))
+    stay = df.join(kept, (F.col(record) == F.col("__record")) & (F.col(contributor) == F.col("__contributor")), "left_semi")
+    rest = df.where(F.col(record).isNotNull() & F.col(contributor).isNull())
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    one = stay.unionByName(rest).groupBy(F.col(record).alias("__r"), F.col(contributor).alias("__c")).agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return one.select("__row.*").unionByName(df.where(F.col(record).isNull()))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quillrank.runtime import written
+from quillrank.runtime import SENT_ROWS, small, written
 
 # Letters of other scripts that look like a Latin letter.
 LATIN_TWINS = {
@@ -34,8 +34,6 @@ _ODD_LATIN = {c for c in LATIN_TWINS if unicodedata.name(c).startswith("LATIN")}
 _FOREIGN = re.compile("[" + "".join(LATIN_TWINS) + "]")
 _TOKEN = re.compile(r"(?:[^\W_]|[\u0300-\u036f])+")
 WORD = re.compile(r"[^\W_]+")
-#: Rows of a small table that the driver may hold or send to the executors; a larger one is joined.
-SENT_ROWS = 100_000
 
 
 def _script(c: str) -> str:
@@ -154,11 +152,6 @@ def _ascii(column: str) -> Column:
     return F.octet_length(column) == F.char_length(column)
 
 
-def small(df: DataFrame, rows: int = SENT_ROWS) -> bool:
-    """Whether a written table has at most so many rows, counted before it is broadcast."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def repairs(texts: DataFrame, column: str, sent_rows: int = SENT_ROWS) -> DataFrame:
     """``token, fixed``: the tokens of a corpus that are to be rewritten, each with one result.
 

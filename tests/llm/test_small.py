@@ -112,3 +112,41 @@ def test_ids_equal_the_library(spark):
     got = {r.doc_id: r.ids for r in tokens.encoded(df, "text").collect()}
     assert got == {k: library.encode_ordinary(t) if t else [] for k, t in enumerate(texts)}
     assert tokens.encoded(df.limit(0), "text").count() == 0
+
+
+@pytest.fixture
+def eight_tasks(spark):
+    """Eight shuffle partitions as they are, and a task for each file."""
+    own = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.enabled": "false", "spark.sql.files.openCostInBytes": str(128 << 20)}
+    held = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in held.items():
+        spark.conf.set(k, v)
+
+
+def _most_in_a_task(df):
+    from pyspark.sql import functions as F
+
+    sizes = [r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_one_contributor_of_all_rows_is_spread(spark, eight_tasks):
+    rng = random.Random(3)
+    data = [(k, "hot", rng.choice([0.1, 0.5, None])) for k in range(8000)]
+    df = spark.createDataFrame(data, "id long, who string, c double").repartition(8)
+    out = capping.verdicts(df, "who", "c", "id", None, 0.5, task_rows=1000)
+    assert _most_in_a_task(out) <= 0.25
+    assert {r.record for r in out.where("kept").collect()} == {i for i, _, _ in sorted(data, key=lambda r: (-(r[2] or -1), r[0]))[:4000]}
+
+
+def test_one_group_of_all_rows_is_spread(spark, eight_tasks):
+    rng = random.Random(4)
+    data = [("g", f"i{k:05d}", rng.random() if k % 3 else None, 1.0) for k in range(8000)]
+    df = spark.createDataFrame(data, "g string, i string, x double, y double").repartition(8)
+    out = fusion.fused(df, "g", "i", SCORES, group_rows=1000)
+    assert _most_in_a_task(out) <= 0.25
+    order = sorted(data, key=lambda r: (-(r[2] if r[2] is not None else -1.0), r[1]))
+    assert {r.i: r.position for r in out.collect()} == {r[1]: n for n, r in enumerate(order, 1)}
