@@ -145,3 +145,22 @@ def positions(df: DataFrame, group: list[str], order: list[Column], name: str =
     for g, a in named.items():
         same = same & (F.col(g) == F.col(a))
     return ranged.join(bounded(places), same).select(*df.columns, (F.col("__at") + F.col("__shift")).alias(name))
+
+
+def pairs_within(df: DataFrame, group: str, member: str, chunk_rows: int = 2048) -> DataFrame:
+    """``group, a, b``: every two different members of each group once, ``a < b``; members of a group are distinct.
+
+    A group above ``chunk_rows`` members is cut into chunks and every pair of chunks is joined under a key of its own, so
+    no key holds more than two chunks. The result is as large as the pairs that the caller asks for.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    wide = written(sizes.where(F.col("__n") > chunk_rows).select(F.col(group).alias("__g"), F.ceil(F.col("__n") / chunk_rows).cast("int").alias("__c")), "wide")
+    some = not wide.isEmpty()
+    if some:
+        rows = df.select(group, member).join(bounded(wide), F.col(group) == F.col("__g"), "left").select(group, member, F.coalesce("__c", F.lit(1)).alias("__c"))
+    else:
+        rows = df.select(group, member, F.lit(1).alias("__c"))
+    own, every = F.pmod(F.hash(member), F.col("__c")), F.explode(F.sequence(F.lit(0), F.col("__c") - 1))
+    left = rows.select(F.col(group), F.col(member).alias("a"), own.alias("__i"), every.alias("__j"))
+    right = rows.select(F.col(group), F.col(member).alias("b"), every.alias("__i"), own.alias("__j"))
+    return left.join(right, [group, "__i", "__j"]).where("a < b").select(group, "a", "b")
