@@ -243,4 +243,39 @@ def test_full_listings_are_distinct_before_they_meet_partial_ones(spark, monkeyp
     card = {"Brand": "Corvu", "Item Type": "memory card"}
     data = [listing(f"k{n}", "Zusano Quest memory card by Corvu", None, {**card, "Color": "red"}) for n in range(3)] + [listing("p", "Zusano Quest memory card by Corvu", None, card)]
     assert products.same_products(spark.createDataFrame(data, SCHEMA), "item_id", "title", "f", "d", "brand").count() == 6
-    assert plans["completed"].count("Deduplicate") == 2
+    assert "Deduplicate" in plans["full"] and plans["fuller"].count("Deduplicate") == 1  # and they meet by equality, over distinct masks
+
+
+def test_names_and_kinds_come_from_the_data(spark):
+    """A five-word name that holds a four-word one, and a kind of product that no list names."""
+    own = {"Brand": "Brask", "Item Type": "video game"}
+    data = [
+        listing("a", "Brask | The Long Road Back Home | video game", None, own),
+        listing("b", "Brask | The Long Road Back Home | video game", None, own),
+        listing("c", "Brask | Long Road Back Home | video game", None, own),
+        listing("d", "Brask | Long Road Back Home | video game", None, own),
+        listing("e", "Silent Typer mechanical keyboard", None, {"Brand": "Corvu", "Item Type": "mechanical keyboard"}),
+        listing("f", "Silent Typer mechanical keyboard", None, {"Brand": "Corvu", "Item Type": "mechanical keyboard"}),
+        listing("g", "Quiet Typer wobble board", None, None, "Corvu"),  # no kind is stated anywhere
+        listing("h", "Quiet Typer wobble board", None, None, "Corvu"),
+        listing("i", "Brask | Long Road Back Home 104 | video game", None, own),
+        listing("j", "Brask | Long Road Back Home XIV | video game", None, own),
+    ]
+    df = spark.createDataFrame(data, SCHEMA)
+    assert sorted(tuple(r) for r in products.same_products(df, "item_id", "title", "f", "d", "brand").collect()) == [("a", "b"), ("c", "d"), ("e", "f"), ("g", "h")]
+    keys = {r.key: r for r in products.product_keys(df, "item_id", "title", "f", "d", "brand").collect()}
+    assert keys["i"].installment == "104" and keys["j"].installment == "14" and keys["c"].installment == "1" and keys["e"].kind == "mechanical keyboard" and keys["g"].kind == ""
+
+
+def test_one_dirty_listing_makes_no_phrase(spark):
+    card = {"Brand": "Corvu", "Item Type": "memory card"}
+    data = [listing(f"k{n}", "Corvu | Zusano Quest | memory card", None, card) for n in range(3)] + [listing("x", "Corvu | Grab Zusano Quest | memory card", None, card)]
+    found = products.same_products(spark.createDataFrame(data, SCHEMA), "item_id", "title", "f", "d", "brand").collect()
+    assert len(found) == 6
+
+
+def test_keys_and_names_of_kinds_are_mined(spark):
+    data = [listing(f"a{n}", "Corvu Zusano Quest memory card", None, {"Brand": "Corvu", "Item Type": "storage card", "Color": c}) for n, c in enumerate(["red", "blue", "red", "blue"])]
+    data += [listing(f"b{n}", "Corvu Zusano Quest storage card", None, {"Brand": "Corvu", "Shade": c, "Item Type": "memory card"}) for n, c in enumerate(["red", "blue", "red", "blue"])]
+    keys = {r.key: (r.kind, r.colour) for r in products.product_keys(spark.createDataFrame(data, SCHEMA), "item_id", "title", "f", "d", "brand").collect()}
+    assert keys["a0"] == keys["b0"] == ("memory card", "red") and keys["b1"] == ("memory card", "blue")
