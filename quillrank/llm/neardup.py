@@ -12,8 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.lookalike import WORD, form, one_form, small
-from quillrank.runtime import written
+from quillrank.llm.lookalike import WORD, form, one_form
+from quillrank.operators.skew import pairs_within
+from quillrank.runtime import SENT_ROWS, bounded, written
 
 #: Texts of a group that one task compares; larger groups are cut into pairs of chunks.
 GROUP_TEXTS = 4096
@@ -23,6 +24,8 @@ BLOCKS = 1 << 14
 BITS, RUNS = 256, 160
 #: Bytes of text that are signed at a time.
 PORTION = 4 << 20
+#: Texts of a large group that may share a run before its place in their order follows from its frequency.
+COMMON = 16
 #: Bit planes between two looks at which blocks are out of reach.
 STEP = 32
 
@@ -103,7 +106,7 @@ def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(int(a), int(b - a))
 
 
-def _signing(run: int, least_words: int, least: float, repairs: dict[str, str]):
+def _signing(run: int, least_words: int, repairs: dict[str, str]):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _portions(whole)):
             texts = [WORD.findall(one_form(t or "", repairs).lower()) for t in batch["text"].to_pylist()]
@@ -112,9 +115,6 @@ def _signing(run: int, least_words: int, least: float, repairs: dict[str, str]):
             rows = batch.filter(pa.array(long))
             h, bounds = run_sets(kept, run)
             n = np.diff(bounds)
-            heads = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
-            ends = np.cumsum(np.r_[0, heads])
-            first = (h[np.repeat(bounds[:-1] - ends[:-1], heads) + np.arange(ends[-1])] >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(h) else np.zeros(0, np.int32)
             scopes = rows["scope"].to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -123,22 +123,20 @@ def _signing(run: int, least_words: int, least: float, repairs: dict[str, str]):
                     pa.array([xxhash.xxh64_intdigest(str(s)) - (1 << 63) for s in scopes], pa.int64()),
                     pa.array(n, pa.int32()),
                     pa.array(fingerprints(h, bounds), pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first)),
                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64))),
                 ],
-                names=["key", "cls", "scope", "n", "bits", "head", "runs"],
+                names=["key", "cls", "scope", "n", "bits", "runs"],
             )
 
     return sign
 
 
 def signatures(df: DataFrame, key: str, scope: str, text: str, run: int = 3, least_words: int = 36, least: float = 0.55) -> DataFrame:
-    """``key, cls, scope, n, bits, head, runs`` of the texts with at least ``least_words`` words, one row per key.
+    """``key, cls, scope, n, bits, runs`` of the texts with at least ``least_words`` words, one row per key.
 
     ``cls`` is equal for equal word sequences of one scope, ``scope`` is a number. Words are runs of letters
     and digits in lower case of the text in one form (see :mod:`quillrank.llm.lookalike`). ``runs`` are the
-    hashes of the distinct runs of ``run`` words in order, ``head`` begins those by one of which a text that is
-    ``least`` similar must be found. Rows with a NULL key or scope and texts that are NULL or too short
+    hashes of the distinct runs of ``run`` words in order. Rows with a NULL key or scope and texts that are NULL or too short
     have no row; whole texts are read. The result is a written table.
     """
     if not 0.25 < least <= 1:
@@ -146,8 +144,8 @@ def signatures(df: DataFrame, key: str, scope: str, text: str, run: int = 3, lea
     rows = df.where(F.col(key).isNotNull() & F.col(scope).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(scope).alias("scope"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     texts, repairs = form(rows, "text")
-    schema = f"key {kind}, cls binary, scope bigint, n int, bits binary, head array<int>, runs array<bigint>"
-    return written(texts.mapInArrow(_signing(run, least_words, least, repairs), schema), "signatures")
+    schema = f"key {kind}, cls binary, scope bigint, n int, bits binary, runs array<bigint>"
+    return written(texts.mapInArrow(_signing(run, least_words, repairs), schema), "signatures")
 
 
 def _planes(bits: np.ndarray) -> np.ndarray:
@@ -316,9 +314,43 @@ def _comparing(least: float):
     return run
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it is counted to be small."""
-    return F.broadcast(df) if small(df) else df
+def _heading(least: float, common):
+    """``cls, groups``: the runs by one of which a text that is ``least`` similar must be found, the rarest first.
+
+    Any one order of all runs is right; that by frequency keeps the groups small. ``common`` has the most frequent runs
+    with their counts, sorted; all others come before them, by hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = common.value
+        for batch in batches:
+            runs = batch["runs"]
+            sizes = np.diff(runs.offsets.to_numpy()).astype(np.int64)
+            flat = runs.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            scope = batch["scope"].to_numpy(zero_copy_only=False).view(np.uint64)
+            code = _mixed(flat ^ _mixed(scope)[doc])
+            at = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
+            weight = np.where(known[at] == code, often[at], 0) if len(known) else np.zeros(len(code), np.int64)
+            order = np.lexsort((code, weight, doc))
+            heads = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
+            ends = np.cumsum(np.r_[0, heads])
+            starts = np.cumsum(sizes) - sizes
+            picked = code[order[np.repeat(starts - ends[:-1], heads) + np.arange(ends[-1])]]
+            yield pa.RecordBatch.from_arrays([batch["cls"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(picked.view(np.int64)))], names=["cls", "groups"])
+
+    return run
+
+
+def _coding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``code, n``: each run of a scope and how many rows of these have it."""
+    for batch in batches:
+        runs = batch["runs"]
+        sizes = np.diff(runs.offsets.to_numpy())
+        flat = runs.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        scope = batch["scope"].to_numpy(zero_copy_only=False).view(np.uint64)
+        code, n = np.unique(_mixed(flat ^ _mixed(np.repeat(scope, sizes))), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n, pa.int64())], names=["code", "n"])
 
 
 def links(signed: DataFrame, least: float = 0.55, group_texts: int = GROUP_TEXTS) -> DataFrame:
@@ -328,8 +360,9 @@ def links(signed: DataFrame, least: float = 0.55, group_texts: int = GROUP_TEXTS
     :func:`signatures` for the same ``least``; equal word sequences are one class and no link.
 
     A scope of at most ``group_texts`` classes is compared as a whole. In a larger one, two similar
-    texts must share a run among the first ``n - ceil(least * n) + 1`` in hash order, so each of these
-    runs is a group; a group above ``group_texts`` is cut into chunks and every pair of chunks is
+    texts must share a run among the first ``n - ceil(least * n) + 1`` of any one order of runs. The order is by frequency in
+    the scope, the rarest first, so words that many texts share bring no texts together. Each of these
+    runs that several texts have is a group; a group above ``group_texts`` is cut into chunks and every pair of chunks is
     compared by its own task. Within a group fingerprints are compared by bit planes, and only what they
     allow is checked exactly. Nothing is lost on the way: every step is a bound, none a guess.
     """
@@ -339,25 +372,26 @@ def links(signed: DataFrame, least: float = 0.55, group_texts: int = GROUP_TEXTS
     if large.isEmpty():
         rows = signed.dropDuplicates(["cls"]).select(F.col("scope").alias("grp"), "cls", "n", "bits", F.lit(0).alias("side"))
     else:
-        marked = signed.join(_bounded(large.withColumn("large", F.lit(True))), "scope", "left")
-        groups = F.when(F.col("large"), F.transform("head", lambda r: F.xxhash64("scope", r))).otherwise(F.array("scope"))
-        once = marked.select("cls", "n", "bits", groups.alias("groups")).dropDuplicates(["cls"])
-        keyed = once.select(F.explode("groups").alias("grp"), "cls", "n", "bits", F.lit(0).alias("side"))
-        sizes = signed.join(_bounded(large), "scope", "left_semi").select("cls", F.explode(F.transform("head", lambda r: F.xxhash64("scope", r))).alias("grp"))
-        held = sizes.groupBy("grp").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > group_texts)  # copies count, which is on the safe side
-        wide = written(held.select("grp", F.ceil(F.col("held") / group_texts).cast("int").alias("chunks")), "wide")
-        if wide.isEmpty():
-            rows = keyed
-        else:
-            cut = keyed.join(_bounded(wide), "grp", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("mine", F.pmod(F.hash("cls"), F.col("chunks")))
-            paired = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            place = F.when(F.col("chunks") == 1, F.col("grp")).otherwise(F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other")))
-            rows = paired.select(place.alias("grp"), "cls", "n", "bits", F.when(F.col("mine") == F.col("other"), 0).otherwise(F.col("mine") + 1).alias("side"))
+        once = signed.select("cls", "scope", "n", "bits").dropDuplicates(["cls"])
+        usual = once.join(bounded(large), "scope", "left_anti").select(F.col("scope").alias("grp"), "cls", "n", "bits", F.lit(0).alias("side"))
+        hot = signed.join(bounded(large), "scope", "left_semi")
+        coded = hot.select("scope", "runs").mapInArrow(_coding, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON)
+        often = sorted((r["code"] & ((1 << 64) - 1), r["n"]) for r in coded.orderBy(F.col("n").desc(), "code").limit(SENT_ROWS).collect())
+        common = signed.sparkSession.sparkContext.broadcast((np.array([c for c, _ in often], np.uint64), np.array([n for _, n in often], np.int64)))
+        heads = hot.select("cls", "scope", "runs").mapInArrow(_heading(least, common), "cls binary, groups array<bigint>").dropDuplicates(["cls"])
+        each = written(heads.select("cls", F.explode("groups").alias("grp")), "heads")  # narrow: fingerprints go only where a run is shared
+        held = written(each.groupBy("grp").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("grp", F.ceil(F.col("held") / group_texts).cast("int").alias("chunks")), "shared-runs")
+        place = each.join(bounded(held), "grp").withColumn("mine", F.pmod(F.hash("cls"), F.col("chunks")))
+        several = F.when(F.col("chunks") > 1, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(0)))
+        paired = place.withColumn("other", F.explode(several))
+        grp = F.when(F.col("chunks") == 1, F.col("grp")).otherwise(F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other")))
+        keyed = paired.select(grp.alias("grp"), "cls", F.when(F.col("mine") == F.col("other"), 0).otherwise(F.col("mine") + 1).alias("side"))
+        rows = usual.unionByName(keyed.join(once.select("cls", "n", "bits"), "cls").select(*usual.columns))
     sorted_rows = rows.select(*fields).repartition("grp").sortWithinPartitions("grp", "n")
     maybe = sorted_rows.mapInArrow(_comparing(least), "x binary, y binary")
     pairs = written(maybe.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "maybe")
     sides = written(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "sides")
-    sets = signed.select("cls", "runs").join(_bounded(sides), "cls", "left_semi").dropDuplicates(["cls"])
+    sets = signed.select("cls", "runs").join(bounded(sides), "cls", "left_semi").dropDuplicates(["cls"])
     a = sets.select(F.col("cls").alias("x"), F.col("runs").alias("ra"))
     b = sets.select(F.col("cls").alias("y"), F.col("runs").alias("rb"))
     both = pairs.join(a, "x").join(b, "y").withColumn("common", F.size(F.array_intersect("ra", "rb")))
@@ -373,22 +407,22 @@ def similar_pairs(df: DataFrame, key: str, scope: str, text: str, run: int = 3,
     """
     signed = signatures(df, key, scope, text, run, least_words, least)
     found = links(signed, least, group_texts).select("x", "y")
-    members = signed.select("cls", "key").distinct()
-    copied = members.groupBy("cls").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select(F.col("cls").alias("x"), F.col("cls").alias("y"))
+    members = written(signed.select("cls", "key").distinct(), "members")
+    copies = pairs_within(members, "cls", "key").select("a", "b")
     a = members.select(F.col("cls").alias("x"), F.col("key").alias("k"))
     b = members.select(F.col("cls").alias("y"), F.col("key").alias("l"))
-    pairs = found.unionByName(copied).join(a, "x").join(b, "y").where("x <> y or k < l")
-    return pairs.select(F.least("k", "l").alias("key_a"), F.greatest("k", "l").alias("key_b")).where("key_a <> key_b").distinct()
+    unlike = found.join(a, "x").join(b, "y").select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"))
+    return unlike.unionByName(copies).select(F.col("a").alias("key_a"), F.col("b").alias("key_b")).where("key_a <> key_b").distinct()
 
 
 def classes_with_links(df: DataFrame, key: str, scope: str, text: str, run: int = 3, least_words: int = 36, least: float = 0.55, group_texts: int = GROUP_TEXTS) -> DataFrame:
-    """``key, class_id, copies, n_links``: one row per key with the class of equal texts and how many other
-    keys of its scope are equal or similar to it. Copies are counted, not paired."""
+    """``key, class_id, copies, n_links``: one row per key with the class of equal texts, named by its smallest key, and how
+    many other keys of its scope are equal or similar to it. Copies are counted, not paired."""
     signed = signatures(df, key, scope, text, run, least_words, least)
-    members = signed.select("cls", "key").distinct()
-    sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
+    members = written(signed.select("cls", "key").distinct(), "members")
+    sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("class_id"))
     found = written(links(signed, least, group_texts).select("x", "y"), "links")
     ends = found.select(F.col("x").alias("cls"), F.col("y").alias("other")).unionByName(found.select(F.col("y").alias("cls"), F.col("x").alias("other")))
     far = ends.join(sizes.select(F.col("cls").alias("other"), F.col("copies").alias("there")), "other").groupBy("cls").agg(F.sum("there").alias("linked"))
     named = members.join(sizes, "cls").join(far, "cls", "left")
-    return named.select("key", F.lower(F.hex("cls")).alias("class_id"), "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return named.select("key", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
