@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.lookalike import WORD, form, one_form, unified
+from quillrank.runtime import written
 
 #: Words of the corpus in one suffix array, and words of held-out texts sent to the executors at once.
 SHARD_WORDS, SENT_WORDS = 400_000, 500_000
@@ -53,13 +55,20 @@ def _bounds(shard: np.ndarray, order: np.ndarray, wanted: np.ndarray, length: np
     return search(False), search(True)
 
 
+def _code(word: str) -> int:
+    """A word's number in written suffix arrays, above 0; the same in every task."""
+    return xxhash.xxh64_intdigest(word) >> 1 | 1
+
+
 class Held:
-    """Held-out texts as word ids, with every suffix that is long enough to count."""
+    """Held-out texts as word ids, with every suffix that is long enough to count. With ``coded`` ids are those of
+    written suffix arrays, else they are numbered here."""
 
-    def __init__(self, units: list[tuple[object, list[str]]], least: int) -> None:
+    def __init__(self, units: list[tuple[object, list[str]]], least: int, coded: bool = False) -> None:
         self.ids: dict[str, int] = {}
+        number = (lambda x: self.ids.setdefault(x, _code(x))) if coded else (lambda x: self.ids.setdefault(x, len(self.ids)))
         self.keys = [k for k, w in units if w]
-        texts = [np.array([self.ids.setdefault(x, len(self.ids)) for x in w], np.int64) for _, w in units if w]
+        texts = [np.array([number(x) for x in w], np.int64) for _, w in units if w]
         need = [min(least, len(t)) for t in texts]
         self.unit = np.array([u for u, t in enumerate(texts) for _ in range(len(t) - need[u] + 1)], np.int64)
         self.need = np.array([need[u] for u in self.unit], np.int64)
@@ -67,15 +76,16 @@ class Held:
         self.flat = np.concatenate([*texts, np.full(self.width, -3)]) if texts else np.zeros(0, np.int64)
         starts = np.cumsum([0, *map(len, texts)])
         self.start = np.array([starts[u] + i for u, t in enumerate(texts) for i in range(len(t) - need[u] + 1)], np.int64)
-        self.end = starts[1:]
+        self.end, self.first = starts[1:], starts[:-1]
         self.rows = self.flat[self.start[:, None] + np.arange(self.width)] if texts else np.zeros((0, 1), np.int64)
 
-    def search(self, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in the shard, unit, words in common from there) of every match; the shard's separators are -1."""
-        order = suffix_array(shard, self.width)
-        order = order[shard[order] >= 0]  # what no held-out text holds can't begin a match
+    def search(self, shard: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(position in the shard, unit, position in the unit, words in common from there) of every match; the shard's separators are -1."""
+        if order is None:
+            order = suffix_array(shard, self.width)
+            order = order[shard[order] >= 0]  # what no held-out text holds can't begin a match
         if not len(order) or not len(self.rows):
-            return (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int64),) * 4
         low, high = _bounds(shard, order, self.rows, self.need)
         many = high - low
         of = np.repeat(np.arange(len(many)), many)
@@ -88,51 +98,104 @@ class Held:
             more = (t < self.end[self.unit[of[growing]]]) & (there[np.minimum(p, len(shard))] == self.flat[t]) & (p < len(shard))
             growing = growing[more]
             length[growing] += 1
-        return at, self.unit[of], length
-
+        return at, self.unit[of], self.start[of] - self.first[self.unit[of]], length
+
+
+def _shards(batches: Iterator[pa.RecordBatch], overlap: int, repairs: dict[str, str], number) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, first word in its text, first place, word ids) of several documents with a separator after each; longer
+    texts in overlapping pieces."""
+
+    def shard(keys: list, parts: list, begins: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(p) + 1 for p in parts])
+        starts = np.cumsum(sizes) - sizes
+        flat = np.full(int(sizes.sum()), -1, np.int64)
+        for s, p in zip(starts, parts, strict=True):
+            flat[s : s + len(p)] = p
+        return keys, np.array(begins, np.int64), starts, flat
+
+    keys, parts, begins, count = [], [], [], 0
+    for batch in batches:
+        for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            ids = np.array([number(w) for w in WORD.findall(one_form(text, repairs).lower())], np.int64)
+            for begin in range(0, max(1, len(ids)), SHARD_WORDS):
+                piece = ids[begin : begin + SHARD_WORDS + overlap]
+                keys.append(key)
+                parts.append(piece)
+                begins.append(begin)
+                count += len(piece)
+                if count >= SHARD_WORDS:
+                    yield shard(keys, parts, begins)
+                    keys, parts, begins, count = [], [], [], 0
+    if parts:
+        yield shard(keys, parts, begins)
+
+
+def _found(held: Held, keys: list, begins: np.ndarray, starts: np.ndarray, flat: np.ndarray, order: np.ndarray | None, schema: pa.Schema) -> pa.RecordBatch:
+    """The longest passage of each document and unit, the first of equal ones."""
+    at, unit, unit_at, length = held.search(flat, order)
+    doc = np.searchsorted(starts, at, "right") - 1
+    first = np.lexsort((unit_at, at, -length, unit, doc))
+    doc, unit, at, unit_at, length = doc[first], unit[first], at[first], unit_at[first], length[first]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (unit[1:] != unit[:-1])] if len(doc) else np.zeros(0, bool)
+    doc, unit, at, unit_at, length = doc[new], unit[new], at[new], unit_at[new], length[new]
+    columns = {
+        "doc": [keys[d] for d in doc], "unit": [held.keys[u] for u in unit], "words": pa.array(length, pa.int32()),
+        "doc_at": pa.array(begins[doc] + at - starts[doc], pa.int64()), "unit_at": pa.array(unit_at, pa.int32()),
+    }
+    return pa.RecordBatch.from_pydict(columns, schema=schema)
+
+
+def _searching(sent, overlap: int, repairs: dict[str, str], schema: pa.Schema):
+    """Sorts the suffixes of the documents and looks the held-out ones up, in one pass."""
 
-def _searching(held: Held, overlap: int, repairs: dict[str, str]):
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-        """Word ids of several documents with a separator after each; longer texts in overlapping pieces."""
-        keys, parts, count = [], [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sent.value
         get = held.ids.get
-        for batch in batches:
-            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = np.array([get(w, -4) for w in WORD.findall(one_form(text, repairs).lower())], np.int64)
-                for begin in range(0, max(1, len(ids)), SHARD_WORDS):
-                    piece = ids[begin : begin + SHARD_WORDS + overlap]
-                    keys.append(key)
-                    parts.append(piece)
-                    count += len(piece)
-                    if count >= SHARD_WORDS:
-                        yield keys, parts
-                        keys, parts, count = [], [], 0
-        if parts:
-            yield keys, parts
+        for keys, begins, starts, flat in _shards(batches, overlap, repairs, lambda w: get(w, -4)):
+            yield _found(held, keys, begins, starts, flat, None, schema)
+
+    return run
+
+
+def _indexing(least: int, overlap: int, repairs: dict[str, str], kind: pa.DataType):
+    """Suffix arrays of shards, to be written: ``keys, begins, starts, words, suffixes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, parts in shards(batches):
-            sizes = np.array([len(p) + 1 for p in parts])
-            starts = np.cumsum(sizes) - sizes
-            flat = np.full(int(sizes.sum()), -1, np.int64)
-            for s, p in zip(starts, parts, strict=True):
-                flat[s : s + len(p)] = p
-            at, unit, length = held.search(flat)
-            doc = np.searchsorted(starts, at, "right") - 1
-            best: dict[tuple[int, int], int] = {}
-            for d, u, n in zip(doc.tolist(), unit.tolist(), length.tolist(), strict=True):
-                if n > best.get((d, u), 0):
-                    best[d, u] = n
-            yield pa.RecordBatch.from_pydict(
-                {"doc": [keys[d] for d, _ in best], "unit": [held.keys[u] for _, u in best], "words": pa.array(list(best.values()), pa.int32())}, schema=run.schema
-            )
+        known: dict[str, int] = {}
+
+        def number(word: str) -> int:
+            if word not in known:
+                if len(known) > 1 << 20:
+                    known.clear()
+                known[word] = _code(word)
+            return known[word]
+
+        for keys, begins, starts, flat in _shards(batches, overlap, repairs, number):
+            order = suffix_array(flat, least)
+            order = order[flat[order] >= 0]
+            arrays = [pa.array([keys], pa.list_(kind)), *[pa.array([x.tolist()], pa.list_(pa.int64())) for x in (begins, starts)], pa.array([flat], pa.list_(pa.int64())), pa.array([order.astype(np.int32)], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["keys", "begins", "starts", "words", "suffixes"])
+
+    return run
+
+
+def _looking_up(sent, schema: pa.Schema):
+    """Binary search of a block of held-out texts in written suffix arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sent.value
+        for batch in batches:
+            for row in range(batch.num_rows):
+                begins, starts, words, order = (batch[c][row].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in ("begins", "starts", "words", "suffixes"))
+                yield _found(held, batch["keys"][row].as_py(), begins, starts, words, order, schema)
 
     return run
 
 
 def leaked(docs: DataFrame, doc: str, text: str, units: DataFrame, unit: str, unit_text: str, least: int = 13) -> DataFrame:
-    """``doc, unit, words``: documents with at least ``least`` consecutive words of a unit, or with all words
-    of a shorter one, and the length of their longest common passage.
+    """``doc, unit, words, doc_at, unit_at``: documents with at least ``least`` consecutive words of a unit, or with all words
+    of a shorter one, the length of their longest common passage and the numbers (from 0) of its first word in both,
+    the first in the document if several are as long.
 
     Words are runs of letters and digits in lower case of the texts in one form. Documents that are NULL or
     have no words match nothing; units that are NULL or have no words match nothing; rows with a NULL key
@@ -140,33 +203,43 @@ def leaked(docs: DataFrame, doc: str, text: str, units: DataFrame, unit: str, un
 
     Each task sorts the suffixes of its documents (shards of a fixed number of words) and looks every suffix
     of the held-out texts up by binary search; documents are not shuffled. Held-out texts go to the executors
-    in blocks of at most ``SENT_WORDS`` words, each block with its own pass.
+    in blocks of at most ``SENT_WORDS`` words. One block is looked up as the suffixes are sorted; for several the
+    sorted suffixes are written once and each block is only looked up in them.
     """
     kind_d, kind_u = docs.schema[doc].dataType, units.schema[unit].dataType
     rows = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("key"), F.col(text).alias("text"))
     own = units.where(F.col(unit).isNotNull() & F.col(unit_text).isNotNull()).select(F.col(unit).alias("key"), F.col(unit_text).alias("text"))
     texts, repairs = form(rows, "text", corpus=own.select("text"))
-    parts, block, count = [], [], 0
-    schema = f"doc {kind_d.simpleString()}, unit {kind_u.simpleString()}, words int"
+    forms = written(unified(own, "text", "form").select("key", "form").distinct(), "units")
+    overlap = (forms.agg(F.max(F.char_length("form"))).first()[0] or 0) // 2 + 1  # a word and its blank are two characters at least
+    names = "doc %s, unit %s, words int, doc_at bigint, unit_at int" % (kind_d.simpleString(), kind_u.simpleString())
+    schema = pa.schema([("doc", _arrow(kind_d)), ("unit", _arrow(kind_u)), ("words", pa.int32()), ("doc_at", pa.int64()), ("unit_at", pa.int32())])
+    send = docs.sparkSession.sparkContext.broadcast
+    index: list[DataFrame] = []
+
+    def looked_up(block: list) -> DataFrame:
+        if not index:
+            made = texts.mapInArrow(_indexing(least, overlap, repairs, _arrow(kind_d)), f"keys array<{kind_d.simpleString()}>, begins array<bigint>, starts array<bigint>, words array<bigint>, suffixes array<int>")
+            index.append(written(made, "suffixes"))
+        return index[0].mapInArrow(_looking_up(send(Held(block, least, True)), schema), names)
 
-    def search(block: list) -> DataFrame:
-        held = Held(block, least)
-        run = _searching(held, max((len(w) for _, w in block), default=0), repairs)
-        run.schema = pa.schema([("doc", _arrow(kind_d)), ("unit", _arrow(kind_u)), ("words", pa.int32())])
-        return texts.mapInArrow(run, schema)
-
-    for row in unified(own, "text", "form").select("key", "form").distinct().toLocalIterator():
+    parts, block, count = [], [], 0
+    for row in forms.toLocalIterator():
         words = WORD.findall(row["form"].lower())
         if block and count + len(words) > SENT_WORDS:
-            parts.append(search(block))
+            parts.append(looked_up(block))
             block, count = [], 0
         block.append((row["key"], words))
         count += len(words)
-    parts.append(search(block))
+    if parts:
+        parts.append(looked_up(block))
+    else:
+        parts.append(texts.mapInArrow(_searching(send(Held(block, least)), overlap, repairs, schema), names))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("doc", "unit").agg(F.max("words").alias("words"))
+    best = F.max(F.struct("words", (-F.col("doc_at")).alias("d"), (-F.col("unit_at")).alias("u"))).alias("b")
+    return out.groupBy("doc", "unit").agg(best).select("doc", "unit", "b.words", (-F.col("b.d")).alias("doc_at"), (-F.col("b.u")).alias("unit_at"))
 
 
 def _arrow(kind) -> pa.DataType:
