@@ -10,16 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.functions import arrow_udf
 
-from quillrank.llm.lookalike import small
 from quillrank.llm.neardup import _mixed
-from quillrank.runtime import written
+from quillrank.operators.skew import pairs_within
+from quillrank.runtime import bounded, written
 
 #: Characters hashed at a time by a task.
 PIECE = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_BASE, -1, 1 << 64)
+#: Two bases and two codes of characters: together they make a hash of 128 bits.
+_BASES, _CODES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (0xD6E8FEB86659FD93, 0xAF251AF3B0F025B5)
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -30,21 +29,22 @@ def levels(least: int) -> list[int]:
 
 
 class Hashes:
-    """Hashes of all windows of the code points of several texts laid end to end."""
+    """Hashes (64 bits) of all windows of the code points of several texts laid end to end; of two kinds."""
 
-    def __init__(self, texts: list[str]) -> None:
+    def __init__(self, texts: list[str], kind: int = 0) -> None:
+        base = _BASES[kind]
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
         n = len(points)
         self.n = n
-        value = _mixed((points + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-        power = np.full(n + 1, _BASE, np.uint64)
+        value = _mixed((points + np.uint64(1)) * np.uint64(_CODES[kind]))
+        power = np.full(n + 1, base, np.uint64)
         power[0] = 1
         np.cumprod(power, out=power)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(value * power[:n], out=self.sums[1:])
-        self.back = np.full(n + 1, _BACK, np.uint64)
+        self.back = np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
         self.back[0] = 1
         np.cumprod(self.back, out=self.back)
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
@@ -128,15 +128,11 @@ def marked(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
     return written(rows.mapInArrow(_marking(least), f"key {kind}, cls binary, at array<int>, {hashes}"), "marks")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if small(df) else df
-
-
-def _of_several(rows: DataFrame, name: str) -> DataFrame:
+def _of_several(rows: DataFrame, *names: str) -> DataFrame:
     """Values that more than one class has. Two 64-bit hashes of the class stand for it, so the aggregate hashes too."""
     own = [F.xxhash64("cls").alias("c1"), F.xxhash64("cls", F.lit(1)).alias("c2")]
     ends = [f(c).alias(f"{n}_{c}") for c in ("c1", "c2") for n, f in (("low", F.min), ("high", F.max))]
-    return rows.select(name, *own).groupBy(name).agg(*ends).where("low_c1 <> high_c1 or low_c2 <> high_c2").select(name)
+    return rows.select(*names, *own).groupBy(*names).agg(*ends).where("low_c1 <> high_c1 or low_c2 <> high_c2").select(*names)
 
 
 def repeated(marks: DataFrame, least: int) -> DataFrame:
@@ -149,7 +145,7 @@ def repeated(marks: DataFrame, least: int) -> DataFrame:
     rows = marks.select("cls", F.explode(F.arrays_zip("at", *names)).alias("m")).select("cls", *[F.col(f"m.{c}").alias(c) for c in ("at", *names)])
     for k, name in enumerate(names):
         twice = written(_of_several(rows, name), "twice")
-        rows = written(rows.join(_bounded(twice), name, "left_semi").select("cls", "at", *names[k:]).dropDuplicates(["cls", "at"]), "windows")
+        rows = written(rows.join(bounded(twice), name, "left_semi").select("cls", "at", *names[k:]).dropDuplicates(["cls", "at"]), "windows")
         if rows.isEmpty():
             break
     return rows.select("cls", "at", F.col(names[-1]).alias("h"))
@@ -157,60 +153,12 @@ def repeated(marks: DataFrame, least: int) -> DataFrame:
 
 def _texts(df: DataFrame, key: str, text: str, marks: DataFrame, wanted: DataFrame) -> DataFrame:
     """``cls, text``: one text for each wanted class."""
-    one = written(marks.select("cls", "key").join(_bounded(wanted), "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key")), "one")
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(_bounded(one), "key").select("cls", "text").dropDuplicates(["cls"])
-
-
-def _common(a: str, b: str) -> int:
-    """How many characters two strings begin with in common."""
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        mid = (low + high + 1) // 2
-        if a[low:mid] == b[low:mid]:
-            low = mid
-        else:
-            high = mid - 1
-    return low
-
+    one = written(marks.select("cls", "key").join(bounded(wanted), "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key")), "one")
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(bounded(one), "key").select("cls", "text").dropDuplicates(["cls"])
 
-def _lengths(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-    for parts in batches:
-        out = [_common(la[::-1], lb[::-1]) + _common(ra, rb) for la, ra, lb, rb in zip(*[p.to_pylist() for p in parts], strict=True)]
-        yield pa.array(out, pa.int32())
 
-
-def sharing_pairs(df: DataFrame, key: str, text: str, least: int = 300) -> DataFrame:
-    """``key_a, key_b``: two documents that hold the same ``least`` characters in a row, smaller key first.
-
-    Characters are code points, blanks and case included. NULL keys and texts that are NULL or shorter
-    match nothing. Equal texts are one class until the end. Windows found repeated are checked character
-    by character in both texts.
-    """
-    marks = marked(df, key, text, least)
-    found = repeated(marks, least)
-    room = least - levels(least)[-1]
-    wanted = written(found.select("cls").distinct(), "wanted")
-    around = found.select("cls", "at").distinct().join(_texts(df, key, text, marks, wanted), "cls")
-    begin = F.greatest(F.col("at") - room, F.lit(0))
-    context = written(
-        around.select("cls", "at", F.substring("text", begin + 1, F.col("at") - begin).alias("left"), F.substring("text", F.col("at") + 1, F.lit(levels(least)[-1] + room)).alias("right")), "context"
-    )
-    a = found.select("h", F.col("cls").alias("x"), F.col("at").alias("p"))
-    b = found.select("h", F.col("cls").alias("y"), F.col("at").alias("q"))
-    seeds = a.join(b, "h").where("x < y").select("x", "p", "y", "q")
-    ca = context.select(F.col("cls").alias("x"), F.col("at").alias("p"), F.col("left").alias("la"), F.col("right").alias("ra"))
-    cb = context.select(F.col("cls").alias("y"), F.col("at").alias("q"), F.col("left").alias("lb"), F.col("right").alias("rb"))
-    checked = seeds.join(ca, ["x", "p"]).join(cb, ["y", "q"]).withColumn("length", arrow_udf(_lengths, "int")("la", "ra", "lb", "rb"))
-    links = checked.where(F.col("length") >= least).select("x", "y").distinct()
-    members = marks.select("cls", "key").distinct()
-    copied = members.groupBy("cls").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select(F.col("cls").alias("x"), F.col("cls").alias("y"))
-    k, m = members.select(F.col("cls").alias("x"), F.col("key").alias("k")), members.select(F.col("cls").alias("y"), F.col("key").alias("m"))
-    pairs = links.unionByName(copied).join(k, "x").join(m, "y").where("x <> y or k < m")
-    return pairs.select(F.least("k", "m").alias("key_a"), F.greatest("k", "m").alias("key_b")).where("key_a <> key_b").distinct()
-
-
-def _region_windows(least: int):
-    """All windows of ``least`` characters near the anchors of a text."""
+def _region_windows(least: int, once: bool):
+    """All windows of ``least`` characters near the anchors of a text; with ``once`` each content of a text once."""
     room = least - levels(least)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,41 +166,102 @@ def _region_windows(least: int):
             every, places = batch["text"].to_pylist(), batch["places"].to_pylist()
             for begin, end in _pieces(every):
                 texts = every[begin:end]
-                h = Hashes(texts)
-                near = np.zeros(h.n + 1, np.int32)
+                one, two = Hashes(texts), Hashes(texts, 1)
+                near = np.zeros(one.n + 1, np.int32)
                 for i in range(begin, end):
-                    start, size = h.starts[i - begin], h.sizes[i - begin]
+                    start, size = one.starts[i - begin], one.sizes[i - begin]
                     for p in places[i]:  # a shared window begins at most ``room`` before its anchor, or at a later one
                         near[start + max(0, p - room)] += 1
                         near[start + min(size, p + 1)] -= 1
-                ok = (np.cumsum(near[:-1]) > 0) & (h.at + least <= h.sizes[h.doc])
+                ok = (np.cumsum(near[:-1]) > 0) & (one.at + least <= one.sizes[one.doc])
                 at = np.flatnonzero(ok)
+                h, g, doc = one.windows(at, least), two.windows(at, least), one.doc[at]
+                if once and len(at):
+                    order = np.lexsort((at, g, h, doc))
+                    h, g, doc, at = h[order], g[order], doc[order], at[order]
+                    new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])]
+                    h, g, doc, at = h[new], g[new], doc[new], at[new]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["cls"].take(pa.array(h.doc[at] + begin)), pa.array(h.at[at], pa.int32()), pa.array(h.windows(at, least).view(np.int64))], names=["cls", "at", "h"]
+                    [batch["cls"].take(pa.array(doc + begin)), pa.array(one.at[at], pa.int32()), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], names=["cls", "at", "h", "g"]
                 )
 
     return run
 
 
+def _windows(df: DataFrame, key: str, text: str, least: int, once: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The marks, ``cls, text`` and ``cls, at, h, g``: the windows of ``least`` characters near repeated ones, hashed (128 bits)."""
+    marks = marked(df, key, text, least)
+    found = repeated(marks, least)
+    places = written(found.groupBy("cls").agg(F.collect_set("at").alias("places")), "places")  # as many as a text has anchors
+    texts = written(_texts(df, key, text, marks, places.select("cls")), "texts")
+    rows = places.join(texts, "cls").select("cls", "text", "places").mapInArrow(_region_windows(least, once), "cls binary, at int, h bigint, g bigint")
+    return marks, texts, written(rows, "regions")
+
+
+def sharing_pairs(df: DataFrame, key: str, text: str, least: int = 300) -> DataFrame:
+    """``key_a, key_b``: two documents that hold the same ``least`` characters in a row, smaller key first.
+
+    Characters are code points, blanks and case included. NULL keys and texts that are NULL or shorter
+    match nothing. Equal texts are one class until the end.
+
+    No pairs are made to find the passages: every window of ``least`` characters near a repeated one is hashed and
+    counted. Windows that exactly the same texts hold say the same, so one of them stands for all: a passage that many
+    documents share gives one group of them, whatever its length. The members of a group are those whose characters there
+    are equal; only then are pairs made, between classes, and keys are added last.
+    """
+    marks, texts, windows = _windows(df, key, text, least, True)
+    own = [F.xxhash64("cls").alias("c1"), F.xxhash64("cls", F.lit(1)).alias("c2")]
+    each = windows.select("h", "g", *own).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("c1").alias("x1"), F.bit_xor("c2").alias("x2")).where("n > 1")
+    chosen = written(each.groupBy("n", "x1", "x2").agg(F.min(F.struct("h", "g")).alias("w")).select("w.h", "w.g"), "chosen")
+    members = windows.join(bounded(chosen), ["h", "g"]).select("cls", "at").join(texts, "cls")
+    passage = F.unhex(F.sha2(F.substring("text", F.col("at") + 1, F.lit(least)), 256))
+    grouped = written(members.select(passage.alias("passage"), "cls").distinct(), "members")
+    links = pairs_within(grouped, "passage", "cls").select("a", "b").distinct()
+    named = written(marks.select("cls", "key").distinct(), "named")
+    copies = pairs_within(named, "cls", "key").select("a", "b")
+    k, m = named.select(F.col("cls").alias("a"), F.col("key").alias("k")), named.select(F.col("cls").alias("b"), F.col("key").alias("m"))
+    unlike = links.join(k, "a").join(m, "b").select(F.least("k", "m").alias("a"), F.greatest("k", "m").alias("b"))
+    return unlike.unionByName(copies).select(F.col("a").alias("key_a"), F.col("b").alias("key_b")).where("key_a <> key_b").distinct()
+
+
+def _covered(windows: DataFrame) -> DataFrame:
+    """``cls, at`` of the windows that several texts hold."""
+    twice = written(_of_several(windows, "h", "g"), "twice")
+    return windows.join(bounded(twice), ["h", "g"], "left_semi").select("cls", "at").distinct()
+
+
 def shared_lengths(df: DataFrame, key: str, text: str, least: int = 300) -> DataFrame:
     """``key, n_chars, shared_chars``: how many characters of each document lie in a passage of at least
     ``least`` characters that another document holds too; one row per row with a key.
 
     NULL texts have NULL characters and 0 shared ones. A text that another document repeats as a whole is
     shared as a whole if it is long enough. No pairs of documents are made: each window of ``least``
-    characters near a repeated one is hashed (64 bits) and those of more than one text are united.
+    characters near a repeated one is hashed (128 bits) and those of more than one text are united.
     """
-    marks = marked(df, key, text, least)
-    found = repeated(marks, least)
-    places = written(found.groupBy("cls").agg(F.collect_set("at").alias("places")), "places")  # as many as a text has anchors
-    windows = written(places.join(_texts(df, key, text, marks, places.select("cls")), "cls").select("cls", "text", "places").mapInArrow(_region_windows(least), "cls binary, at int, h bigint"), "windows")
-    twice = written(_of_several(windows, "h"), "twice")
-    covered = windows.join(_bounded(twice), "h", "left_semi").select("cls", "at").distinct()
+    marks, _, windows = _windows(df, key, text, least, False)
     last = F.lag("at").over(W.partitionBy("cls").orderBy("at"))
-    part = covered.withColumn("new", F.least(F.lit(least), F.coalesce(F.col("at") - last, F.lit(least)))).groupBy("cls").agg(F.sum("new").alias("part"))
+    part = _covered(windows).withColumn("new", F.least(F.lit(least), F.coalesce(F.col("at") - last, F.lit(least)))).groupBy("cls").agg(F.sum("new").alias("part"))
     copies = marks.select("cls", "key").distinct().groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
     of_class = marks.select("key", "cls").distinct().join(copies, "cls").join(part, "cls", "left").select(F.col("key").alias("__key"), "copies", "part")
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.char_length(text).cast("bigint").alias("n_chars"))
     named = rows.join(of_class, F.col("key") == F.col("__key"), "left")
     shared = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("part", F.lit(0))).cast("bigint")
     return named.select("key", "n_chars", shared.alias("shared_chars"))
+
+
+def shared_passages(df: DataFrame, key: str, text: str, least: int = 300) -> DataFrame:
+    """``key, begin, end``: the stretches of each document that other documents hold in passages of at least ``least`` characters.
+
+    Offsets are code points, half-open. Passages that overlap or touch are one stretch; a text that another document
+    repeats as a whole is one. See :func:`shared_lengths`.
+    """
+    marks, texts, windows = _windows(df, key, text, least, False)
+    named = marks.select("cls", "key").distinct()
+    whole = named.groupBy("cls").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("cls")
+    w = W.partitionBy("cls").orderBy("at")
+    first = F.coalesce(F.col("at") > F.lag("at").over(w) + least, F.lit(True))
+    parts = _covered(windows).join(whole, "cls", "left_anti").withColumn("first", first).withColumn("stretch", F.sum(F.col("first").cast("int")).over(w))
+    ends = parts.groupBy("cls", "stretch").agg(F.min("at").alias("begin"), (F.max("at") + least).alias("end")).join(named, "cls").select("key", "begin", "end")
+    copied = named.join(whole, "cls", "left_semi").select(F.col("key").alias("__key"))
+    full = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.char_length(text).alias("end")).join(copied, F.col("key") == F.col("__key"), "left_semi").distinct()
+    return ends.unionByName(full.select("key", F.lit(0).alias("begin"), "end"))
