@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -214,6 +215,22 @@ def unified(df: DataFrame, column: str, out: str, corpus: DataFrame | None = Non
     return rows.withColumn(out, arrow_udf(_repairing(words), "string")(F.col(out)))
 
 
+def once_each(df: DataFrame, key: str, column: str) -> DataFrame:
+    """``key, column`` of the rows of a file source, redelivered ones (same key and look) once; texts don't move.
+
+    ``df`` has the source's ``_metadata``. Only hashes are grouped; the rows that repeat an earlier one are few, and are left
+    out by their place. Rows of one key that differ only in what :func:`folded` settles count as redelivered.
+    """
+    form = arrow_udf(_folding, "string")(F.col(column))
+    shown = F.when(_ascii(column) & ~F.col(column).rlike(r"[^ -~]|  |^ | $"), F.col(column)).otherwise(form)
+    at = df.select(F.col(key).alias("k"), F.xxhash64(shown).alias("h"), F.xxhash64(shown, F.lit(1)).alias("g"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+    rank = F.row_number().over(W.partitionBy("k", "h", "g").orderBy("f", "r"))
+    again = written(at.withColumn("n", rank).where("n > 1").select("f", "r"), "redelivered")
+    rows = df.select(key, column, F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__r"))
+    left = F.broadcast(again) if small(again) else again
+    return rows.join(left, (F.col("__f") == F.col("f")) & (F.col("__r") == F.col("r")), "left_anti").select(key, column)
+
+
 def equal_looking(df: DataFrame, key: str, column: str, scope: list[str], sent_rows: int = SENT_ROWS) -> DataFrame:
     """``key_a, key_b``: two keys of the same scope whose values look the same but differ in characters.
 

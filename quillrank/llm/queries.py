@@ -48,9 +48,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_unified(spark: SparkSession, folder: str) -> DataFrame:
     """The one form of every title and every review text."""
-    titles = lookalike.unified(table(spark, folder, "item_metadata").select("item_id", "title"), "title", "form").selectExpr("'item_metadata' AS table_name", "item_id AS key", "form")
-    texts = lookalike.unified(table(spark, folder, "review_texts").select("review_id", "text"), "text", "form").selectExpr("'review_texts' AS table_name", "review_id AS key", "form")
-    return titles.unionByName(texts).distinct()
+    parts = []
+    for name, key, column in (("item_metadata", "item_id", "title"), ("review_texts", "review_id", "text")):
+        rows = table(spark, folder, name).select(F.col(key).alias("key"), F.col(column).alias("text"), "_metadata")
+        parts.append(lookalike.unified(lookalike.once_each(rows, "key", "text"), "text", "form").select(F.lit(name).alias("table_name"), "key", "form"))
+    return parts[0].unionByName(parts[1])
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,10 +109,21 @@ def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_lengths(table(spark, folder, "documents"), "doc_id", "text", 300).selectExpr("key AS doc_id", "n_chars", "shared_chars")
 
 
+def p10_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the passages of at least 300 characters lie that other documents hold too."""
+    return spans.shared_passages(table(spark, folder, "documents"), "doc_id", "text", 300).selectExpr("key AS doc_id", "begin", "end")
+
+
+def p9_places(spark: SparkSession, folder: str) -> DataFrame:
+    """How long the longest passage of each leaked unit is, and at which words it begins in document and unit."""
+    found = leaks.leaked(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_units"), "unit_id", "text", 13)
+    return found.selectExpr("doc AS doc_id", "unit AS unit_id", "words", "doc_at", "unit_at")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         *(p1_found, p1_groups, p2_found, p2_capped, p3_found, p3_unified, p4_found, p4_reciprocal, p5_found),
-        *(p6_found, p6_classes, p8_ids, p9_found, p9_clean, p10_found, p10_shared),
+        *(p6_found, p6_classes, p8_ids, p9_found, p9_places, p9_clean, p10_found, p10_shared, p10_passages),
     )
 }

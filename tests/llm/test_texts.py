@@ -279,3 +279,53 @@ def test_keys_and_names_of_kinds_are_mined(spark):
     data += [listing(f"b{n}", "Corvu Zusano Quest storage card", None, {"Brand": "Corvu", "Shade": c, "Item Type": "memory card"}) for n, c in enumerate(["red", "blue", "red", "blue"])]
     keys = {r.key: (r.kind, r.colour) for r in products.product_keys(spark.createDataFrame(data, SCHEMA), "item_id", "title", "f", "d", "brand").collect()}
     assert keys["a0"] == keys["b0"] == ("memory card", "red") and keys["b1"] == ("memory card", "blue")
+
+
+def test_leaks_in_blocks_say_where(spark, monkeypatch):
+    rng = random.Random(31)
+    units = [(f"u{k}", " ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(rng.choice([4, 13, 40])))) for k in range(10)]
+    docs = []
+    for k in range(40):
+        words = [rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(rng.randrange(60))]
+        u = units[rng.randrange(10)][1].split()
+        at = rng.randrange(len(words) + 1)
+        words[at:at] = u[rng.randrange(2) :]
+        docs.append((k, " ".join(words)))
+    dd, uu = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(units, "unit_id string, text string")
+    one = sorted(tuple(r) for r in leaks.leaked(dd, "doc_id", "text", uu, "unit_id", "text").collect())
+    texts, own = dict(docs), dict(units)
+    for d, u, n, at, unit_at in one:
+        assert texts[d].split()[at : at + n] == own[u].split()[unit_at : unit_at + n]
+    monkeypatch.setattr(leaks, "SENT_WORDS", 60)
+    monkeypatch.setattr(leaks, "SHARD_WORDS", 50)
+    assert sorted(tuple(r) for r in leaks.leaked(dd, "doc_id", "text", uu, "unit_id", "text").collect()) == one
+
+
+def _groups_and_rows(monkeypatch):
+    seen, written = {}, neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, name: seen.setdefault(name, written(df, name)))
+    return seen
+
+
+def test_a_phrase_that_all_texts_share_brings_none_together(spark, monkeypatch):
+    rng = random.Random(12)
+    stock = " ".join(f"s{k}" for k in range(12))
+    data = [(f"r{k:04d}", "item", stock + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(90))) for k in range(600)]
+    data += [(f"x{k}", "item", data[k][2] + " more") for k in range(5)]
+    seen = _groups_and_rows(monkeypatch)
+    found = neardup.similar_pairs(spark.createDataFrame(data, "k string, s string, t string").repartition(4), "k", "s", "t", group_texts=100).collect()
+    assert sorted(tuple(r) for r in found) == [(f"r{k:04d}", f"x{k}") for k in range(5)]
+    assert seen["heads"].join(seen["shared-runs"], "grp").groupBy("grp").count().agg({"count": "max"}).first()[0] == 2
+
+
+def test_a_passage_that_all_documents_share_is_one_group(spark, monkeypatch):
+    rng = random.Random(13)
+    stock = sentence(rng, 80)[:400]
+    data = [(k, sentence(rng, 12) + f" {k} " + stock + f" {k} " + sentence(rng, 12)) for k in range(120)]
+    seen, written = {}, spans.written
+    monkeypatch.setattr(spans, "written", lambda df, name: seen.update({name: written(df, name)}) or seen[name])
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert spans.sharing_pairs(df, "doc_id", "text", 300).count() == 120 * 119 // 2
+    assert seen["members"].count() <= 130  # one row a document
+    ends = {r.key: (r.begin, r.end) for r in spans.shared_passages(df, "doc_id", "text", 300).collect()}
+    assert all(stock in t[slice(*ends[k])] and len(t[slice(*ends[k])]) <= 402 for k, t in data)
