@@ -321,7 +321,7 @@ def test_a_phrase_that_all_texts_share_brings_none_together(spark, monkeypatch):
 def test_a_passage_that_all_documents_share_is_one_group(spark, monkeypatch):
     rng = random.Random(13)
     stock = sentence(rng, 80)[:400]
-    data = [(k, sentence(rng, 12) + f" {k} " + stock + f" {k} " + sentence(rng, 12)) for k in range(120)]
+    data = [(k, sentence(rng, 12) + chr(0x4E00 + k) + stock + chr(0x4E00 + k) + sentence(rng, 12)) for k in range(120)]
     seen, written = {}, spans.written
     monkeypatch.setattr(spans, "written", lambda df, name: seen.update({name: written(df, name)}) or seen[name])
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
