@@ -548,3 +548,8 @@ def stream_daily_counts(spark: SparkSession, folder: str) -> DataFrame:
     source = stream.stream(spark, f"{folder}/interactions.parquet").where("ingested_at is not null and item_id is not null")
     rows = stream.run_to_end(stream.counted(source, "ingested_at", "item_id"))
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), F.col("key").alias("item_id"), "n")
+
+
+from quillrank.plans import explaining, explaining_sql  # noqa: E402, F401  (adds its queries)
+
+ORACLE.update(explaining_sql.ORACLE)
