@@ -151,3 +151,74 @@ def first_seen(df: DataFrame, key: str = "item_id") -> DataFrame:
 def hash_ordered(df: DataFrame, key: str, early: Column, limit: int) -> DataFrame:
     """The first ``limit`` rows in a repeatable shuffle: early ones first, then by the hash of the key."""
     return df.orderBy(F.coalesce(early, F.lit(False)).desc(), F.sha2(key, 256), key).limit(limit)
+
+
+def with_metadata(df: DataFrame, metadata: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows whose item the catalogue has, with ``columns`` of its last row: the greatest by those columns, whatever the scheduling."""
+    whole = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"o{i}") for i, c in enumerate(columns)])
+    one = metadata.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), whole).alias("__m"))
+    return df.join(one, key).select(*df.columns, *[F.col(f"__m.{c}").alias(c) for c in columns if c not in df.columns])
+
+
+def attached(texts: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts with the user of their event, and one row of counts: texts without an event, texts of another item than their event, texts attached.
+
+    The second is for a check before the first is used (:func:`attached_or_raise`): texts of another item are left out here.
+    """
+    own = events.select("review_id", "user_id", F.col("item_id").alias("__item"), F.col("timestamp").alias("event_time")).where("review_id is not null")
+    rows = texts.where("review_id is not null").join(own, "review_id", "left")
+    same = F.col("item_id").eqNullSafe(F.col("__item"))
+    checks = rows.agg(F.count_if(F.col("__item").isNull()).alias("without_event"), F.count_if(F.col("__item").isNotNull() & ~same).alias("other_item"), F.count_if(F.col("__item").isNotNull() & same).alias("attached"))
+    return rows.where(F.col("__item").isNotNull() & same).drop("__item"), checks
+
+
+def attached_or_raise(texts: DataFrame, events: DataFrame) -> DataFrame:
+    """Texts with the user of their event; a text whose event has another item is an error."""
+    rows, checks = attached(texts, events)
+    n = checks.first()["other_item"]
+    if n:
+        raise ValueError(f"{n} texts belong to another item than their event")
+    return rows
+
+
+def found_or_raise(texts: DataFrame, wanted: DataFrame, key: str = "review_id") -> DataFrame:
+    """The texts of the wanted keys; a key without a text is an error."""
+    keys = wanted.select(key).where(F.col(key).isNotNull()).distinct()
+    missing = keys.join(texts.select(key), key, "left_anti").count()
+    if missing:
+        raise ValueError(f"{missing} values of {key} have no text")
+    return texts.join(keys, key, "left_semi")
+
+
+def fresh_texts(texts: DataFrame, events: DataFrame, pilot: DataFrame) -> DataFrame:
+    """Texts with an event that are not in the pilot and not of the item and duplicate group of one of its texts, NULL groups being equal."""
+    groups = texts.join(pilot.select("review_id").distinct(), "review_id", "left_semi").select(F.col("item_id").alias("__i"), F.col("duplicate_group").alias("__g")).distinct()
+    own = events.select("review_id", "user_id").where("review_id is not null")
+    rows = texts.join(own, "review_id").join(pilot.select("review_id").distinct(), "review_id", "left_anti")
+    # NULLs are one value of a key that is never NULL, so the join stays an equality.
+    key = lambda i, g: F.struct(F.coalesce(i, F.lit("")), i.isNull(), F.coalesce(g, F.lit("")), g.isNull())
+    return rows.join(groups, key(F.col("item_id"), F.col("duplicate_group")) == key(F.col("__i"), F.col("__g")), "left_anti")
+
+
+def most_frequent(df: DataFrame, column: str, n: int) -> DataFrame:
+    """``column, n``: the ``n`` most frequent values, equal ones by value; NULLs don't count."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.col("n").desc(), F.col(column).asc()).limit(n)
+
+
+def json_list(df: DataFrame, key: str, column: str) -> DataFrame:
+    """``key, place, value``: the entries of a JSON list, from 0; what is no list or broken has none."""
+    return df.select(key, F.posexplode(F.from_json(column, "array<string>")).alias("place", "value"))
+
+
+def one_per_parent(df: DataFrame, labels: str, fields: list[str]) -> DataFrame:
+    """Rows with a list of labels as one row per label, its fields going before the parent's; rows without a list pass as they are."""
+    inner = {f.name for f in df.schema[labels].dataType.elementType.fields}
+    rows = df.withColumn("__l", F.explode_outer(labels)).drop(labels)
+    own = [F.coalesce(F.col(f"__l.{f}"), F.col(f)).alias(f) if f in inner and f in df.columns else F.col(f"__l.{f}").alias(f) if f in inner else F.col(f) for f in fields]
+    return rows.select(*own)
+
+
+def limited(clean: DataFrame, rows: int) -> DataFrame:
+    """The first ``rows`` events by time, user, item and review: a pilot of a snapshot."""
+    return clean.orderBy(F.col("timestamp"), F.col("user_id"), F.col("item_id"), F.col("review_id")).limit(rows)

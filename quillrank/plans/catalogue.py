@@ -550,6 +550,7 @@ def stream_daily_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), F.col("key").alias("item_id"), "n")
 
 
-from quillrank.plans import explaining, explaining_sql  # noqa: E402, F401  (adds its queries)
+from quillrank.plans import explaining, explaining_sql, labelling, labelling_sql  # noqa: E402, F401  (add their queries)
 
 ORACLE.update(explaining_sql.ORACLE)
+ORACLE.update(labelling_sql.ORACLE)
