@@ -6,20 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillrank.operators import snapshot
-from quillrank.runtime import partitions, written
+from quillrank.runtime import bounded, partitions, written
 
 MS_PER_DAY = 86_400_000
 #: Likes of one user that meet all the user's likes in one task.
 CHUNK_LIKES = 500
-#: Edges that one Python worker may hold for the methods that need the whole graph.
-WORKER_EDGES = 20_000_000
-#: Times a drawn item that is in the user's history is drawn again before it is drawn from the others only.
+#: Bytes of edges (9 each) that a Python worker may hold for the methods that need the whole graph.
+WORKER_BYTES = 180_000_000
+#: Bytes of cosines that a task holds at a time.
+HELD_BYTES = 128 << 20
+#: Edges that one block of factor training holds.
+BLOCK_EDGES = 5_000_000
+#: Times a drawn item that its user has met is drawn again before it is drawn from the unmet ones only.
 REDRAWS = 20
+#: Users and items of one block of scoring by factors.
+BLOCK_USERS, BLOCK_ITEMS = 20_000, 50_000
 
 
 def edges(clean: DataFrame, cutoff: int, threshold: float = 4.0) -> DataFrame:
@@ -120,109 +127,130 @@ def with_fallback(own: DataFrame, users: DataFrame, edge: DataFrame, cutoff: int
     return good.select("user_id", "rank", "item_id", "score", "fallback_reason").unionByName(other.select("user_id", "rank", "item_id", "score", "fallback_reason"))
 
 
+def numbered(ids: DataFrame, name: str, number: str) -> DataFrame:
+    """Distinct values of a column with a number from 0 in their order, as a written table."""
+    rows = placed(ids.select(name).where(F.col(name).isNotNull()).distinct(), [F.col(name).asc()])
+    return written(rows.select(name, (F.col("place") - 1).cast("int").alias(number)), "numbers")
+
+
 class Graph:
-    """The liked edges as arrays, by user and by item; ``names`` and ``items`` are sorted."""
+    """Edges as arrays of whole numbers, by user and by item: what users have met, and what of it they like."""
 
-    def __init__(self, users: np.ndarray, items: np.ndarray) -> None:
-        self.names, self.u = np.unique(users.astype(str), return_inverse=True)
-        self.items, self.i = np.unique(items.astype(str), return_inverse=True)
-        self.by_user, self.by_item = np.argsort(self.u, kind="stable"), np.argsort(self.i, kind="stable")
-        self.cut_u = np.searchsorted(self.u[self.by_user], np.arange(len(self.names) + 1))
-        self.cut_i = np.searchsorted(self.i[self.by_item], np.arange(len(self.items) + 1))
-        self.degree = np.diff(self.cut_i)
+    def __init__(self, u: np.ndarray, i: np.ndarray, liked: np.ndarray, users: int, items: int) -> None:
+        self.users, self.items = users, items
+        self.met, self.met_cut = self._rows(u, i, users)
+        self.likes, self.likes_cut = self._rows(u[liked], i[liked], users)
+        self.fans, self.fans_cut = self._rows(i[liked], u[liked], items)
+        self.degree = np.diff(self.fans_cut)
 
-    def liked(self, user: int) -> np.ndarray:
-        return self.i[self.by_user[self.cut_u[user] : self.cut_u[user + 1]]]
+    @staticmethod
+    def _rows(of: np.ndarray, what: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((what, of))
+        return what[order], np.searchsorted(of[order], np.arange(n + 1))
 
-    def likers(self, item: int) -> np.ndarray:
-        return self.u[self.by_item[self.cut_i[item] : self.cut_i[item + 1]]]
+    def liked(self, user: int) -> np.ndarray:
+        return self.likes[self.likes_cut[user] : self.likes_cut[user + 1]]
 
-    def places(self, wanted: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where values lie in a sorted array, and which of them do."""
-        at = np.minimum(np.searchsorted(of, wanted), max(len(of) - 1, 0))
-        return at, (of[at] == wanted if len(of) else np.zeros(len(wanted), bool))
+    def seen(self, user: int) -> np.ndarray:
+        return self.met[self.met_cut[user] : self.met_cut[user + 1]]
 
     def cosines(self, item: int) -> np.ndarray:
         """An item's cosine with every item, itself left out."""
-        users = self.likers(item)
-        sizes = self.cut_u[users + 1] - self.cut_u[users]
-        at = np.repeat(self.cut_u[users] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        common = np.bincount(self.i[self.by_user[at]], minlength=len(self.items)).astype(float)
+        fans = self.fans[self.fans_cut[item] : self.fans_cut[item + 1]]
+        common = np.zeros(self.items)
+        for part in np.array_split(fans, len(fans) // 4096 + 1):
+            places = [np.arange(self.likes_cut[u], self.likes_cut[u + 1]) for u in part]
+            if places:
+                common += np.bincount(self.likes[np.concatenate(places)], minlength=self.items)
         common[item] = 0.0
-        return common / np.sqrt(self.degree[item] * self.degree)
+        return common / np.sqrt(np.maximum(self.degree[item] * self.degree, 1))
 
 
-def _sent_graph(edge: DataFrame):
-    """The liked edges for every worker, if they are counted to be at most ``WORKER_EDGES``; else None."""
-    liked = written(edge.where("positive").select("user_id", "item_id"), "liked")
-    if liked.limit(WORKER_EDGES + 1).count() > WORKER_EDGES:
-        return None
-    data = liked.toPandas()
-    return edge.sparkSession.sparkContext.broadcast((data["user_id"].to_numpy(str), data["item_id"].to_numpy(str)))
-
-
-def _best_of(graph: Graph, users: list[str], seen: list, scores: Iterator[np.ndarray], k: int) -> pd.DataFrame:
-    """The ``k`` best unseen items above 0 of each user, by score and item."""
-    out: dict[str, list] = {"user_id": [], "rank": [], "item_id": [], "score": []}
-    for user, own, score in zip(users, seen, scores, strict=True):
-        score = np.round(score, 12)
-        at, there = graph.places(np.array(list(own), dtype=str), graph.items)
-        score[at[there]] = 0.0
-        above = np.flatnonzero(score > 0)
-        if len(above) > k:
-            above = above[score[above] >= np.partition(score[above], len(above) - k)[len(above) - k]]
-        top = above[np.lexsort((above, -score[above]))[:k]]  # items are sorted, so places order like names
-        out["user_id"] += [user] * len(top)
-        out["rank"] += range(1, len(top) + 1)
-        out["item_id"] += graph.items[top].tolist()
-        out["score"] += score[top].tolist()
-    return pd.DataFrame(out)
-
-
-def _wanted(users: DataFrame, edge: DataFrame) -> DataFrame:
-    """Users with the items they have met, spread over at least as many tasks as there are cores."""
-    met = edge.join(users, "user_id", "left_semi").groupBy("user_id").agg(F.collect_set("item_id").alias("seen"))
-    return met.repartition(partitions(users.sparkSession), "user_id")
+class Sent:
+    """The edges of a graph as whole numbers, sent to every worker, and the names of the numbers."""
+
+    def __init__(self, edge: DataFrame) -> None:
+        self.names, self.items = numbered(edge, "user_id", "u"), numbered(edge, "item_id", "i")
+        rows = edge.join(bounded(self.items), "item_id").join(bounded(self.names), "user_id").select("u", "i", "positive")
+        held = written(rows, "numbered-edges").toArrow()  # bounded by WORKER_BYTES, see sent_graph
+        arrays = [held[c].to_numpy() for c in ("u", "i", "positive")]
+        self.graph = edge.sparkSession.sparkContext.broadcast((*arrays, self.names.count(), self.items.count()))
+
+    def wanted(self, users: DataFrame) -> DataFrame:
+        """The numbers of the users, spread over at least as many tasks as there are cores."""
+        return users.select("user_id").distinct().join(self.names, "user_id").select("u").repartition(partitions(users.sparkSession))
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        return rows.join(bounded(self.names), "u").join(bounded(self.items), "i").drop("u", "i")
+
+
+def sent_graph(edge: DataFrame) -> Sent | None:
+    """The graph for every worker, if its edges are counted to take at most ``WORKER_BYTES``; else None."""
+    most = WORKER_BYTES // 9
+    return Sent(edge) if edge.limit(most + 1).count() <= most else None
+
+
+def _best_unseen(graph: Graph, user: int, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The user's ``k`` best items above 0 that they haven't met, and their scores; items are numbered in the order of their names."""
+    score = np.round(score, 12)
+    score[graph.seen(user)] = 0.0
+    above = np.flatnonzero(score > 0)
+    if len(above) > k:
+        above = above[score[above] >= -np.partition(-score[above], k - 1)[k - 1]]
+    top = above[np.lexsort((above, -score[above]))[:k]]
+    return top, score[top]
+
+
+_TOP = "u int, rank int, i int, score double"
+
+
+def _top_batch(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    sizes = [len(items) for _, items, _ in rows]
+    u = np.repeat(np.array([u for u, _, _ in rows], np.int32), sizes)
+    rank = np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes]) if rows else np.zeros(0, np.int32)
+    i = np.concatenate([x.astype(np.int32) for _, x, _ in rows]) if rows else np.zeros(0, np.int32)
+    score = np.concatenate([x for _, _, x in rows]) if rows else np.zeros(0)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (u, rank, i, score)], names=["u", "rank", "i", "score"])
 
 
 def neighbours_top(users: DataFrame, edge: DataFrame, cutoff: int, k: int, neighbours: int | None = None) -> DataFrame:
     """Top ``k`` unseen items by the summed cosines of :func:`neighbour_scores`, else popularity with the reason.
 
-    Where the liked edges fit a worker (``WORKER_EDGES``), each worker makes the cosines of the items its users like
-    from them; a larger graph is joined.
+    Where the edges fit a worker (``WORKER_BYTES``), each worker makes the cosines of the items its users like
+    from them; a larger graph is joined. Both ways give the same rows.
     """
-    sent = _sent_graph(edge)
+    sent = sent_graph(edge)
     if sent is None:
         return with_fallback(top_k(neighbour_scores(users, edge, neighbours), k), users, edge, cutoff, k, "no_similar_items")
+    held = sent.graph
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = Graph(*sent.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = Graph(*held.value)
         rows: dict[int, np.ndarray] = {}
-        limit = max(1, (128 << 20) // (8 * max(len(graph.items), 1)))
+        most = max(1, HELD_BYTES // (8 * max(graph.items, 1)))
 
         def row(item: int) -> np.ndarray:
             if item not in rows:
-                if len(rows) >= limit:
+                if len(rows) >= most:
                     rows.clear()
                 rows[item] = graph.cosines(item)
             return rows[item]
 
-        def score(user: int) -> np.ndarray:
+        def total(user: int) -> np.ndarray:
             own = graph.liked(user)
-            if not neighbours or len(own) <= neighbours:
-                return np.sum([row(j) for j in own], axis=0)
-            best = np.zeros((neighbours, len(graph.items)))
-            for j in own:  # the strongest so far, item by item
-                weakest = best.argmin(axis=0)[None, :]
-                np.put_along_axis(best, weakest, np.maximum(np.take_along_axis(best, weakest, 0), row(j)[None, :]), 0)
-            return best.sum(axis=0)
-
-        for frame in frames:
-            at, known = graph.places(frame["user_id"].to_numpy(str), graph.names)
-            part = frame[known]
-            yield _best_of(graph, part["user_id"].tolist(), part["seen"].tolist(), (score(u) for u in at[known]), k)
-
-    own = _wanted(users, edge).mapInPandas(run, "user_id string, rank int, item_id string, score double")
+            out = np.zeros((min(neighbours or 1, max(len(own), 1)), graph.items))
+            for j in own:
+                if not neighbours or neighbours >= len(own):
+                    out[0] += row(j)
+                else:  # the strongest so far of each item, weakest first
+                    out[0] = np.maximum(out[0], row(j))
+                    out.sort(axis=0)
+            return out.sum(axis=0)
+
+        for batch in batches:
+            yield _top_batch([(u, *_best_unseen(graph, u, total(u), k)) for u in batch["u"].to_pylist()])
+
+    own = sent.named(sent.wanted(users).mapInArrow(run, _TOP))
     return with_fallback(own, users, edge, cutoff, k, "no_similar_items")
 
 
@@ -245,159 +273,227 @@ def walk_steps(users: DataFrame, edge: DataFrame, damping: float = 0.85, steps:
     return mass.join(edge.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").select("user_id", "item_id", F.round("p", 12).alias("score"))
 
 
+class Walk:
+    """The restarting walk from given starts, over users and items as arrays."""
+
+    def __init__(self, graph: Graph, damping: float, limit: int, tolerance: float) -> None:
+        self.graph, self.damping, self.limit, self.tolerance = graph, damping, limit, tolerance
+        likes = np.diff(graph.likes_cut)
+        several = np.flatnonzero(likes > 1)
+        # Who likes one item only sends its mass straight back, a factor of the item; the others are edges.
+        single = graph.likes[graph.likes_cut[np.flatnonzero(likes == 1)]]
+        self.back = np.bincount(single, minlength=graph.items) / np.maximum(graph.degree, 1)
+        self.i = np.concatenate([graph.liked(u) for u in several]) if len(several) else np.zeros(0, np.int64)
+        self.cut_u = np.cumsum(np.r_[0, likes[several]])[:-1]
+        order = np.argsort(self.i, kind="stable")
+        self.u = np.repeat(np.arange(len(several)), likes[several])[order]
+        self.held, self.cut_i = np.unique(self.i[order], return_index=True)
+        self.per_item, self.per_user = 1.0 / np.maximum(graph.degree, 1), 1.0 / likes[several]
+
+    def twice(self, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Item mass after a step to the users and one back, without damping; and the most that a user who likes several items held."""
+        out = self.back[:, None] * mass
+        most = (mass * self.per_item[:, None]).max(axis=0, initial=0.0)
+        if len(self.i):
+            users = np.add.reduceat((mass * self.per_item[:, None])[self.i], self.cut_u, axis=0)
+            most = np.maximum(most, np.abs(users).max(axis=0))
+            out[self.held] += np.add.reduceat((users * self.per_user[:, None])[self.u], self.cut_i, axis=0)
+        return out, most
+
+    def run(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For columns of start mass over the items, the columns of item mass and the largest change of their last step, items and users alike.
+
+        Mass is followed from double step to double step: what a column gains in one is its change, which shrinks and
+        goes on to the next. Columns end when it is at most the tolerance, or with the limit of steps.
+        """
+        d = self.damping
+        now = d * start
+        final, change, active = now.copy(), np.zeros(start.shape[1]), np.arange(start.shape[1])
+        # p(1) = d v, p(3) - p(1) = d d M p(1) + (d (1 - d) - d) v, and each later change is d d M of the one before.
+        gain, users = self.twice(now)
+        gain = d * d * gain - d * d * start
+        for step in range(1, max(1, self.limit // 2)):
+            final[:, active] += gain
+            change[active] = np.maximum(np.abs(gain).max(axis=0), d * users)
+            on = change[active] > self.tolerance
+            if step == self.limit // 2 - 1 or not on.any():
+                break
+            active, gain = active[on], gain[:, on]
+            gain, users = self.twice(gain)
+            gain *= d * d
+        return final, change
+
+
 def walks(users: DataFrame, edge: DataFrame, k: int, damping: float = 0.85, limit: int = 100, tolerance: float = 1e-12, batch: int = 64) -> DataFrame:
-    """``user_id, rank, item_id, score``: top ``k`` unseen items by the restarting walk run until it settles.
+    """``user_id, rank, item_id, score, settled``: top ``k`` unseen items by the restarting walk.
 
-    The liked edges go to every worker as arrays, which is allowed up to ``WORKER_EDGES`` of them; beyond that the
-    walk is made by joins (:func:`walk_steps`) with as many double steps as the tolerance needs. A user's walk stops when
-    all items together change by at most ``tolerance``, or after ``limit`` steps. Users who like nothing have no rows.
+    A walk takes up to ``limit`` steps (two make a double step) and ends before if no item's and no user's mass changes by more than
+    ``tolerance``; ``settled`` says whether it did. Damping alone shrinks a change by ``damping ** 2`` each double step, so a walk that
+    reaches the limit of 100 is within about 1e-7 of the settled one. The edges go to every worker as arrays where they fit
+    (``WORKER_BYTES``); beyond that the same double steps are made by joins (:func:`walk_steps`), and ``settled`` is NULL. Users who like nothing have no rows.
     """
-    sent = _sent_graph(edge)
+    sent = sent_graph(edge)
     if sent is None:
-        needed = int(np.ceil(np.log(tolerance) / (2 * np.log(damping))))
-        return top_k(walk_steps(users, edge, damping, min(limit // 2, needed)), k)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = Graph(*sent.value)
-        degree_u = np.diff(graph.cut_u)
-        # Who likes one item only sends its mass straight back: those users are a factor of the item, not edges.
-        several = degree_u > 1
-        number = np.cumsum(several) - 1
-        alone = np.bincount(graph.i[~several[graph.u]], minlength=len(graph.items)) / np.maximum(graph.degree, 1)
-        u, i = number[graph.u[several[graph.u]]], graph.i[several[graph.u]]
-        by_u, by_i = np.argsort(u, kind="stable"), np.argsort(i, kind="stable")
-        cut_u = np.searchsorted(u[by_u], np.arange(int(several.sum())))
-        held, cut_i = np.unique(i[by_i], return_index=True)
-        i_of, u_of = i[by_u], u[by_i]
-        weight_i, weight_u = (1.0 / np.maximum(graph.degree, 1))[:, None], (1.0 / degree_u[several])[:, None]
-
-        def there_and_back(mass: np.ndarray) -> np.ndarray:
-            out = alone[:, None] * mass
-            if len(u):
-                at_users = np.add.reduceat((mass * weight_i)[i_of], cut_u, axis=0) * weight_u
-                out[held] += np.add.reduceat(at_users[u_of], cut_i, axis=0)
-            return out
-
-        for frame in frames:
-            place, known = graph.places(frame["user_id"].to_numpy(str), graph.names)
-            rows, place = frame[known].reset_index(drop=True), place[known]
-            for begin in range(0, len(rows), batch):
-                part, at = rows[begin : begin + batch], place[begin : begin + batch]
-                start = np.zeros((len(graph.items), len(at)))
-                for column, user in enumerate(at):
-                    start[graph.liked(user), column] = 1.0 / degree_u[user]
-                final, active, mass = np.zeros_like(start), np.arange(len(at)), damping * start
-                for step in range(max(1, limit // 2)):
-                    after = damping * damping * there_and_back(mass) + damping * (1 - damping) * start
-                    done = (np.abs(after - mass).sum(axis=0) <= tolerance) | (step == limit // 2 - 1)
-                    if done.any():
-                        final[:, active[done]] = after[:, done]
-                        if done.all():
-                            break
-                        active, start, after = active[~done], start[:, ~done], after[:, ~done]
-                    mass = after
-                yield _best_of(graph, part["user_id"].tolist(), part["seen"].tolist(), iter(final.T.copy()), k)
-
-    return _wanted(users, edge).mapInPandas(run, "user_id string, rank int, item_id string, score double")
-
-
-def factors(edge: DataFrame, dimensions: int = 64, rate: float = 0.001, regularization: float = 1e-4, epochs: int = 50, batch: int = 1024, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+        return top_k(walk_steps(users, edge, damping, limit // 2 - 1), k).withColumn("settled", F.lit(None).cast("boolean"))
+    held = sent.graph
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = Graph(*held.value)
+        walk = Walk(graph, damping, limit, tolerance)
+        for b in batches:
+            wanted = [u for u in b["u"].to_pylist() if len(graph.liked(u))]
+            for at in range(0, len(wanted), batch):
+                part = wanted[at : at + batch]
+                start = np.zeros((graph.items, len(part)))
+                for column, u in enumerate(part):
+                    start[graph.liked(u), column] = 1.0 / len(graph.liked(u))
+                mass, change = walk.run(start)
+                rows = [(u, *_best_unseen(graph, u, mass[:, column].copy(), k)) for column, u in enumerate(part)]
+                out = _top_batch(rows)
+                ended = np.repeat(change <= tolerance, [len(items) for _, items, _ in rows])
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(ended, pa.bool_())], names=[*out.schema.names, "settled"])
+
+    return sent.named(sent.wanted(users).mapInArrow(run, f"{_TOP}, settled boolean")).select("user_id", "rank", "item_id", "score", "settled")
+
+
+class Factors:
+    """Pairwise ranking by factors over the edges of some users: vectors of those who like something and of items, and a bias of each item."""
+
+    def __init__(self, u: np.ndarray, i: np.ndarray, liked: np.ndarray, users: int, items: int, rate: float, shrink: float, rng: np.random.Generator) -> None:
+        order = np.lexsort((i, u))
+        self.u, self.i, self.items, self.rate, self.shrink, self.rng = u[order], i[order], items, rate, shrink, rng
+        self.cut = np.searchsorted(self.u, np.arange(users + 1))
+        self.met = self.u * items + self.i
+        # The r-th item a user hasn't met is r and as many more as they have met items with fewer than r + 1 unmet ones before.
+        self.unmet_before = self.u * (items + 1) + self.i - (np.arange(len(self.u)) - self.cut[self.u])
+        self.free = items - np.diff(self.cut)
+        good = liked[order] & (self.free[self.u] > 0)
+        self.pairs = np.stack([self.u[good], self.i[good]])
+
+    def others(self, users: np.ndarray) -> np.ndarray:
+        """One item for each user that they haven't met. Items met are drawn again, ``REDRAWS`` times at most, and then from the unmet ones only."""
+        drawn, open_ = self.rng.integers(0, self.items, len(users)), np.arange(len(users))
+        for _ in range(REDRAWS):
+            code = users[open_] * self.items + drawn[open_]
+            at = np.searchsorted(self.met, code)
+            open_ = open_[self.met[np.minimum(at, len(self.met) - 1)] == code]
+            if not len(open_):
+                return drawn
+            drawn[open_] = self.rng.integers(0, self.items, len(open_))
+        r = np.array([self.rng.integers(n) for n in self.free[users[open_]]], np.int64)
+        met = np.searchsorted(self.unmet_before, users[open_] * (self.items + 1) + r, "right") - self.cut[users[open_]]
+        drawn[open_] = r + met
+        return drawn
+
+    def passes(self, row: np.ndarray, users_f: np.ndarray, items_f: np.ndarray, bias: np.ndarray, n: int, batch: int) -> None:
+        """``n`` times through all likes in a new order; the updates of a batch are made from its values before, and summed. ``row`` is each user's vector."""
+        for _ in range(n):
+            shuffled = self.pairs[:, self.rng.permutation(self.pairs.shape[1])]
+            for at in range(0, shuffled.shape[1], batch):
+                users, liked = shuffled[:, at : at + batch]
+                other = self.others(users)
+                x, y, z = users_f[row[users]], items_f[liked], items_f[other]
+                margin = bias[liked] - bias[other] + ((y - z) * x).sum(axis=1)
+                pull = 1.0 / (1.0 + np.exp(np.clip(margin, -50, 50)))
+                self._add(users_f, row[users], pull[:, None] * (y - z) - self.shrink * x)
+                self._add(items_f, np.r_[liked, other], np.r_[pull[:, None] * x - self.shrink * y, -pull[:, None] * x - self.shrink * z])
+                for own, sign in ((liked, 1.0), (other, -1.0)):
+                    self._add(bias[:, None], own, (sign * pull - self.shrink * bias[own])[:, None])
+
+    def _add(self, to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+        """Sums the values of equal rows and adds them, by sorting instead of one by one."""
+        if len(rows):
+            order = np.argsort(rows, kind="stable")
+            own, first = np.unique(rows[order], return_index=True)
+            to[own] += self.rate * np.add.reduceat(values[order], first, axis=0)
+
+
+def _training(turn: int, passes: int, alone: bool, n_items: int, dimensions: int, rate: float, shrink: float, batch: int, seed: int):
+    """Trains a block of users on from the factors held, or from drawn ones in the first round."""
+
+    def train(key: tuple, frame: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        u, names = pd.factorize(frame["user_id"], sort=True)
+        liked = frame["positive"].to_numpy(bool)
+        liking = np.unique(u[liked])
+        row = np.zeros(len(names), np.int64)
+        row[liking] = np.arange(len(liking))
+        rng = np.random.default_rng(seed) if alone else np.random.default_rng([seed, int(key[0]), turn])
+        if len(held):
+            told = held[held["side"] == "item"].sort_values("i")
+            own = held[held["side"] == "user"].set_index("id").loc[names[liking]]
+            users_f, items_f, bias = np.array(own["vector"].tolist()).reshape(-1, dimensions), np.array(told["vector"].tolist()), told["bias"].to_numpy(float).copy()
+        else:
+            users_f = rng.normal(0, 0.01, (len(liking), dimensions))
+            items_f, bias = (rng if alone else np.random.default_rng(seed)).normal(0, 0.01, (n_items, dimensions)), np.zeros(n_items)  # all blocks begin with the same items
+        model = Factors(u.astype(np.int64), frame["i"].to_numpy(np.int64), liked, len(names), n_items, rate, shrink, rng)
+        model.passes(row, users_f, items_f, bias, passes, batch)
+        both = [pd.DataFrame({"side": "user", "id": names[liking], "i": -1, "bias": 0.0, "vector": list(users_f)}), pd.DataFrame({"side": "item", "id": "", "i": np.arange(n_items), "bias": bias, "vector": list(items_f)})]
+        return pd.concat(both).assign(block=int(key[0]))[["block", "side", "id", "i", "bias", "vector"]]
+
+    return train
+
+
+def factors(edge: DataFrame, dimensions: int = 64, rate: float = 0.001, regularization: float = 1e-4, epochs: int = 50, batch: int = 1024, seed: int = 7, block_edges: int = BLOCK_EDGES, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
     """User and item factors of pairwise ranking: ``user_id, vector`` and ``item_id, bias, vector``.
 
     Each pass draws, for every liked edge, one item outside the user's history and moves both by the gradient of
-    the logistic of their difference; updates of a batch are summed. Users who like nothing have no factors. Training is sequential by nature, so it runs in one
-    worker and is refused above ``WORKER_EDGES`` edges; for more, ``pyspark.ml.recommendation.ALS`` is the distributed choice.
-    """
-    if edge.limit(WORKER_EDGES + 1).count() > WORKER_EDGES:
-        raise ValueError(f"more than {WORKER_EDGES} edges: use a distributed factorisation")
+    the logistic of their difference; updates of a batch are summed. Users who like nothing have no factors.
 
-    def train(frame: pd.DataFrame) -> pd.DataFrame:
-        u, names = pd.factorize(frame["user_id"], sort=True)
-        i, items = pd.factorize(frame["item_id"], sort=True)
-        order = np.lexsort((i, u))
-        u, i, liked = u[order].astype(np.int64), i[order].astype(np.int64), frame["positive"].to_numpy(bool)[order]
-        liking, rng = np.unique(u[liked]), np.random.default_rng(seed)
-        row = np.full(len(names), -1)
-        row[liking] = np.arange(len(liking))
-        users_f, items_f, bias = rng.normal(0, 0.01, (len(liking), dimensions)), rng.normal(0, 0.01, (len(items), dimensions)), np.zeros(len(items))
-        history, count = u * len(items) + i, np.bincount(u, minlength=len(names))
-        liked &= count[u] < len(items)
-        pu, pi, places = u[liked], i[liked], np.arange(dimensions)
-
-        def add(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-            """np.add.at for rows; flat places are several times as fast and add in the same order."""
-            np.add.at(to.reshape(-1), (rows[:, None] * dimensions + places).ravel(), values.ravel())
-
-        for _ in range(epochs):
-            order = rng.permutation(len(pu))
-            for begin in range(0, len(order), batch):
-                a, b = pu[order[begin : begin + batch]], pi[order[begin : begin + batch]]
-                c, bad = rng.integers(0, len(items), len(a)), np.arange(len(a))
-                for _ in range(REDRAWS):
-                    key = a[bad] * len(items) + c[bad]
-                    bad = bad[history[np.minimum(np.searchsorted(history, key), len(history) - 1)] == key]
-                    if not len(bad):
-                        break
-                    c[bad] = rng.integers(0, len(items), len(bad))
-                for at in bad:  # nearly all items are in the history: draw from what is left
-                    begin_u, end_u = np.searchsorted(history, [a[at] * len(items), (a[at] + 1) * len(items)])
-                    left = np.setdiff1d(np.arange(len(items)), i[begin_u:end_u], assume_unique=True)
-                    c[at] = left[int(rng.integers(len(left)))]
-                a = row[a]
-                x, y, z = users_f[a], items_f[b], items_f[c]
-                pull = 1 / (1 + np.exp(np.clip(bias[b] - bias[c] + np.einsum("ij,ij->i", x, y - z), -50, 50)))
-                w = pull[:, None]
-                add(users_f, a, rate * (w * (y - z) - regularization * x))
-                add(items_f, b, rate * (w * x - regularization * y))
-                add(items_f, c, rate * (-w * x - regularization * z))
-                np.add.at(bias, b, rate * (pull - regularization * bias[b]))
-                np.add.at(bias, c, rate * (-pull - regularization * bias[c]))
-        return pd.concat([
-            pd.DataFrame({"side": "user", "id": names[liking], "bias": 0.0, "vector": list(users_f)}),
-            pd.DataFrame({"side": "item", "id": items, "bias": bias, "vector": list(items_f)}),
-        ])
-
-    fitted = edge.select("user_id", "item_id", "positive").groupBy(F.lit(1).alias("all")).applyInPandas(train, "side string, id string, bias double, vector array<double>")
-    model = written(fitted, "factors")
-    return model.where("side = 'user'").select(F.col("id").alias("user_id"), "vector"), model.where("side = 'item'").select(F.col("id").alias("item_id"), "bias", "vector")
+    Users are spread over blocks of about ``block_edges`` edges. One block is trained in one go; several are trained side by side
+    in ``rounds``, each of a part of the ``epochs``, after which the blocks' item factors are averaged (a block's user factors are its own).
+    Each block holds the factors of all items. Results depend on the seed and the number of blocks, not on scheduling.
+    """
+    count = edge.count()
+    blocks = max(1, -(-count // block_edges))
+    rounds = min(rounds, epochs) if blocks > 1 else 1
+    items = numbered(edge, "item_id", "i")
+    n_items = items.count()
+    rows = written(edge.join(bounded(items), "item_id").select(F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int").alias("block"), "user_id", "i", "positive"), "blocks")
+    schema = "block int, side string, id string, i int, bias double, vector array<double>"
+    state: DataFrame | None = None
+    done = 0
+    for turn in range(rounds):
+        passes = epochs * (turn + 1) // rounds - done
+        done += passes
+
+        held = state if state is not None else rows.sparkSession.createDataFrame([], schema)
+        made = written(rows.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(_training(turn, passes, blocks == 1, n_items, dimensions, rate, regularization, batch, seed), schema), "factors")
+        if blocks > 1:
+            own = made.where("side = 'item'")
+            vector = F.array(*[F.avg(F.get("vector", F.lit(j))) for j in range(dimensions)])
+            mean = own.groupBy("i").agg(F.avg("bias").alias("bias"), vector.alias("vector"))
+            every = mean.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit("item").alias("side"), F.lit("").alias("id"), "i", "bias", "vector")
+            made = written(made.where("side = 'user'").unionByName(every), "averaged")
+        state = made
+    user_f = state.where("side = 'user'").select(F.col("id").alias("user_id"), "vector")
+    return user_f, state.where("side = 'item' and block = 0").join(bounded(items), "i").select("item_id", "bias", "vector")
 
 
 def factor_top(users: DataFrame, edge: DataFrame, model: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
     """``user_id, rank, item_id, score``: each user's best unseen items by factors.
 
-    The stated users are scored, 256 at a time, against all items in blocks: item factors are cut into blocks of a fixed size,
-    each block is held by one worker call at a time, and only the best ``k`` of a block go on.
+    Users and items are cut into blocks, and each pair of blocks is scored by a task of its own. Of a block of items a user's best
+    ``k`` and as many more as the user has met go on, so the unseen ones among them are the best; what was met goes after that.
     """
     user_f, item_f = model
-    seen = edge.join(users, "user_id", "left_semi").groupBy("user_id").agg(F.collect_set("item_id").alias("seen"))
-    queries = user_f.join(users, "user_id", "left_semi").join(seen, "user_id")
-    block: list[tuple[str, float, list[float]]] = []
-    parts: list[DataFrame] = []
-
-    def scored(rows: list[tuple[str, float, list[float]]]) -> DataFrame:
-        ids = np.array([r[0] for r in rows])
-        bias, matrix = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in (whole[at : at + 256] for whole in frames for at in range(0, len(whole), 256)):
-                total = bias + np.array(frame["vector"].tolist()) @ matrix.T
-                out = []
-                for user, seen, line in zip(frame["user_id"], frame["seen"], total, strict=True):
-                    line = np.where(np.isin(ids, list(seen)), -np.inf, np.round(line, 12))
-                    top = np.lexsort((ids, -line))[:k]
-                    out += [(user, ids[t], line[t]) for t in top if np.isfinite(line[t])]
-                yield pd.DataFrame(out, columns=["user_id", "item_id", "score"])
-
-        return queries.mapInPandas(run, "user_id string, item_id string, score double")
-
-    for r in item_f.toLocalIterator():
-        block.append((r["item_id"], r["bias"], r["vector"]))
-        if len(block) == 50_000:
-            parts.append(scored(block))
-            block = []
-    if block or not parts:
-        parts.append(scored(block))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_k(out, k)
+    met = edge.join(users, "user_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("met"))
+    queries = written(user_f.join(users.select("user_id").distinct(), "user_id", "left_semi").join(met, "user_id"), "queries")
+    n_u, n_i = max(1, -(-queries.count() // BLOCK_USERS)), max(1, -(-item_f.count() // BLOCK_ITEMS))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.pmod(F.xxhash64("user_id"), F.lit(n_u)).alias("ub"), each(n_i).alias("ib"), "user_id", "vector", "met")
+    right = item_f.select(each(n_u).alias("ub"), F.pmod(F.xxhash64("item_id"), F.lit(n_i)).alias("ib"), "item_id", "bias", "vector")
+
+    def score(asked: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out: list[pd.DataFrame] = []
+        told = told.sort_values("item_id")
+        ids, bias, matrix = told["item_id"].to_numpy(object), told["bias"].to_numpy(float), np.array(told["vector"].tolist()).reshape(len(told), -1)
+        for at in range(0, len(asked) if len(told) else 0, 256):
+            part = asked[at : at + 256]
+            total = np.round(np.array(part["vector"].tolist()) @ matrix.T + bias, 12)
+            for user, n, line in zip(part["user_id"], part["met"], total, strict=True):
+                first = np.lexsort((np.arange(len(ids)), -line))[: k + int(n)]
+                out.append(pd.DataFrame({"user_id": user, "item_id": ids[first], "score": line[first]}))
+        return pd.concat(out) if out else pd.DataFrame({"user_id": [], "item_id": [], "score": []}, dtype=object)
+
+    scored = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(score, "user_id string, item_id string, score double")
+    return top_k(scored.join(edge.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"), k)

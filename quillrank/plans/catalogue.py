@@ -200,7 +200,7 @@ def walk_top(spark: SparkSession, folder: str) -> DataFrame:
     s = Snapshot(spark, folder)
     edge = s.edge()
     users = s.locked(edge).select("user_id").distinct()
-    own = ranking.walks(users, edge, K)
+    own = ranking.walks(users, edge, K).drop("settled")
     return ranking.with_fallback(own, users, edge, s.t1, K, "all_zero_scores")
 
 

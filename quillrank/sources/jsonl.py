@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
-from urllib.parse import urlparse
-from urllib.request import Request, urlopen
+import urllib.error
+import urllib.request
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,32 +27,64 @@ def read_tolerant(spark: SparkSession, path: str, schema: StructType) -> DataFra
     return kept.where(F.col("_broken").isNull()).drop("_broken")
 
 
-def fetch(url: str, start: int, end: int) -> tuple[bytes, int]:
-    """Bytes start..end (inclusive) of a file or an HTTP source, and its whole size."""
-    if urlparse(url).scheme in ("http", "https"):
-        with urlopen(Request(url, headers={"Range": f"bytes={start}-{end}"}), timeout=120) as answer:  # noqa: S310
-            told = answer.headers.get("Content-Range", "")
-            return answer.read(), int(told.rsplit("/", 1)[1] if "/" in told else answer.headers["Content-Length"])
-    path = url.removeprefix("file://")
-    with open(path, "rb") as f:
-        f.seek(start)
-        return f.read(end - start + 1), os.path.getsize(path)
-
-
-def whole_lines(url: str, start: int, end: int, size: int, step: int = 1 << 20) -> Iterator[bytes]:
+class Source:
+    """A file, read by byte ranges: of this machine's file system, or of a web server that answers range requests."""
+
+    def __init__(self, place: str) -> None:
+        self.place = place
+        self.remote = place.startswith(("http://", "https://"))
+
+    def read(self, begin: int, size: int) -> bytes:
+        """Up to ``size`` bytes from ``begin``; fewer at the end."""
+        if size <= 0:
+            return b""
+        if not self.remote:
+            with open(self.place.removeprefix("file://"), "rb") as held:
+                held.seek(begin)
+                return held.read(size)
+        status, _, body = self._asked(begin, begin + size)
+        if status == 416:  # nothing lies there
+            return b""
+        if status == 206:
+            return body
+        return body[begin : begin + size]  # a server that sends everything
+
+    def size(self) -> int:
+        if not self.remote:
+            return os.stat(self.place.removeprefix("file://")).st_size
+        status, headers, body = self._asked(0, 1)
+        total = headers.get("Content-Range", "*/*").rpartition("/")[2]
+        if status == 206 and total.isdigit():
+            return int(total)
+        return len(body)
+
+    def _asked(self, begin: int, end: int) -> tuple[int, Mapping[str, str], bytes]:
+        wanted = urllib.request.Request(self.place)
+        wanted.add_header("Range", "bytes=%d-%d" % (begin, end - 1))
+        try:
+            answer = urllib.request.urlopen(wanted, timeout=60)  # noqa: S310
+        except urllib.error.HTTPError as refused:
+            if refused.code != 416:
+                raise
+            return 416, refused.headers, b""
+        with answer:
+            return answer.status, answer.headers, answer.read()
+
+
+def whole_lines(source: Source, start: int, end: int, size: int, step: int = 1 << 20) -> Iterator[bytes]:
     """Lines that begin in [start, end): the last one is read to its end, so splits share no line and lose none."""
     at, held = start, b""
     if start > 0:  # the line that holds byte start - 1 belongs to the split before
         at, held = start - 1, b""
         while at < size:
-            piece, _ = fetch(url, at, min(size, at + step) - 1)
+            piece = source.read(at, min(size - at, step))
             cut = piece.find(b"\n")
             at += cut + 1 if cut >= 0 else len(piece)
             if cut >= 0:
                 break
     begin = at
     while begin < end and at < size:
-        piece, _ = fetch(url, at, min(size, at + step) - 1)
+        piece = source.read(at, min(size - at, step))
         at += len(piece)
         held += piece
         while begin < end and (cut := held.find(b"\n")) >= 0:
@@ -77,7 +109,7 @@ class WindowReader(DataSourceReader):
         self.fractions = [float(x) for x in options.get("fractions", "").split(",") if x]
 
     def partitions(self) -> list[Window]:
-        _, size = fetch(self.url, 0, 0)
+        size = Source(self.url).size()
         if not self.fractions:
             return [Window(s, min(size, s + self.width), size) for s in range(0, size, self.width)]
         starts = dict.fromkeys(max(0, min(size - self.width, int(size * f))) for f in self.fractions)
@@ -85,7 +117,7 @@ class WindowReader(DataSourceReader):
 
     def read(self, part: Window) -> Iterator[tuple]:
         names = self.schema.fieldNames()
-        for line in whole_lines(self.url, part.start, part.end, part.size):
+        for line in whole_lines(Source(self.url), part.start, part.end, part.size):
             if line.strip():
                 row = json.loads(line)
                 yield tuple(_text(row.get(n)) for n in names)

@@ -118,6 +118,18 @@ def test_factors_are_repeatable(spark, clean):
     assert a == b and a
 
 
+def test_factors_in_blocks_learn(spark, clean):
+    edge = ranking.edges(clean, 90).cache()
+    user_f, item_f = ranking.factors(edge, 8, rate=0.05, epochs=20, block_edges=100, rounds=4)
+    x, y = {r.user_id: np.array(r.vector) for r in user_f.collect()}, {r.item_id: (r.bias, np.array(r.vector)) for r in item_f.collect()}
+    rows = edge.collect()
+    assert set(x) == {r.user_id for r in rows if r.positive} and set(y) == {r.item_id for r in rows}
+    score = lambda u, i: y[i][0] + x[u] @ y[i][1]
+    seen = {(r.user_id, r.item_id) for r in rows}
+    wins = [score(r.user_id, r.item_id) > score(r.user_id, i) for r in rows if r.positive for i in y if (r.user_id, i) not in seen]
+    assert np.mean(wins) > 0.65
+
+
 def test_factors_equal_plain_training(spark):
     """With the defaults, against training row by row with the same draws: 64 dimensions, rate 0.001, 50 passes."""
     data = seeded(400, 30, 12) + [(f"n{k}", "sour", f"i{k:02d}", 1.0, 5) for k in range(1, 4)] + [(f"f{k}", "full", f"i{k:02d}", 5.0, 5) for k in range(1, 12)]
@@ -305,6 +317,6 @@ def test_walk_by_joins_comes_near_the_settled_one(spark, clean, monkeypatch):
     edge = ranking.edges(clean, 90).cache()
     users = edge.select("user_id").distinct().limit(5).cache()
     want = {(r.user_id, r.item_id): r.score for r in ranking.walks(users, edge, 5).collect()}
-    monkeypatch.setattr(ranking, "WORKER_EDGES", 1)
+    monkeypatch.setattr(ranking, "WORKER_BYTES", 9)
     got = {(r.user_id, r.item_id): r.score for r in ranking.walks(users, edge, 5, limit=24).collect()}
     assert got and all(got[k] == pytest.approx(want[k], abs=0.02) for k in got.keys() & want.keys())
