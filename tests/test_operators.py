@@ -320,3 +320,14 @@ def test_walk_by_joins_comes_near_the_settled_one(spark, clean, monkeypatch):
     monkeypatch.setattr(ranking, "WORKER_BYTES", 9)
     got = {(r.user_id, r.item_id): r.score for r in ranking.walks(users, edge, 5, limit=24).collect()}
     assert got and all(got[k] == pytest.approx(want[k], abs=0.02) for k in got.keys() & want.keys())
+
+
+def test_nearest_spans_take_each_start_once(spark):
+    from quillrank.operators import agreement
+
+    kind = "k string, aspect string, start int"
+    target = spark.createDataFrame([("a", "x", 10), ("a", "x", 12), ("a", "x", 40), ("a", "y", 5), (None, "x", 1), ("b", "x", 3)], kind)
+    told = spark.createDataFrame([("a", "x", 11), ("a", "x", 13), ("b", "y", 3), ("c", "x", 1)], kind)
+    got = sorted(((r.key, r.aspect, r.start, r.found) for r in agreement.nearest_spans(target, told, "k").collect()), key=str)
+    assert got == sorted([("a", "x", 10, 11), ("a", "x", 12, 13), ("a", "x", 40, None), ("a", "y", 5, None), ("b", "x", 3, None)], key=str)
+    assert agreement.nearest_spans(target.limit(0), told, "k").count() == 0
