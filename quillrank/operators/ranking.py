@@ -480,20 +480,22 @@ def factor_top(users: DataFrame, edge: DataFrame, model: tuple[DataFrame, DataFr
     queries = written(user_f.join(users.select("user_id").distinct(), "user_id", "left_semi").join(met, "user_id"), "queries")
     n_u, n_i = max(1, -(-queries.count() // BLOCK_USERS)), max(1, -(-item_f.count() // BLOCK_ITEMS))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.pmod(F.xxhash64("user_id"), F.lit(n_u)).alias("ub"), each(n_i).alias("ib"), "user_id", "vector", "met")
-    right = item_f.select(each(n_u).alias("ub"), F.pmod(F.xxhash64("item_id"), F.lit(n_i)).alias("ib"), "item_id", "bias", "vector")
+    left = queries.select(F.pmod(F.xxhash64("user_id"), F.lit(n_u)).cast("int").alias("ub"), each(n_i).alias("ib"), "user_id", "vector", "met")
+    right = item_f.select(each(n_u).alias("ub"), F.pmod(F.xxhash64("item_id"), F.lit(n_i)).cast("int").alias("ib"), "item_id", "bias", "vector")
 
     def score(asked: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
+        if not len(told) or not len(asked):
+            return pd.DataFrame({"user_id": [], "item_id": [], "score": []}, dtype=object)
         told = told.sort_values("item_id")
-        ids, bias, matrix = told["item_id"].to_numpy(object), told["bias"].to_numpy(float), np.array(told["vector"].tolist()).reshape(len(told), -1)
-        for at in range(0, len(asked) if len(told) else 0, 256):
+        ids, bias, matrix = told["item_id"].to_numpy(object), told["bias"].to_numpy(float), np.array(told["vector"].tolist())
+        for at in range(0, len(asked), 256):
             part = asked[at : at + 256]
             total = np.round(np.array(part["vector"].tolist()) @ matrix.T + bias, 12)
             for user, n, line in zip(part["user_id"], part["met"], total, strict=True):
                 first = np.lexsort((np.arange(len(ids)), -line))[: k + int(n)]
                 out.append(pd.DataFrame({"user_id": user, "item_id": ids[first], "score": line[first]}))
-        return pd.concat(out) if out else pd.DataFrame({"user_id": [], "item_id": [], "score": []}, dtype=object)
+        return pd.concat(out)
 
     scored = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(score, "user_id string, item_id string, score double")
     return top_k(scored.join(edge.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"), k)
