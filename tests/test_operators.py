@@ -331,3 +331,39 @@ def test_nearest_spans_take_each_start_once(spark):
     got = sorted(((r.key, r.aspect, r.start, r.found) for r in agreement.nearest_spans(target, told, "k").collect()), key=str)
     assert got == sorted([("a", "x", 10, 11), ("a", "x", 12, 13), ("a", "x", 40, None), ("a", "y", 5, None), ("b", "x", 3, None)], key=str)
     assert agreement.nearest_spans(target.limit(0), told, "k").count() == 0
+
+
+def _skewed_graph():
+    """Some users like nearly all items and some items are liked by nearly all users."""
+    rng = np.random.default_rng(5)
+    met = rng.random((60, 300)) < 0.03
+    met[:2] |= rng.random((2, 300)) < 0.6
+    met[:, :2] |= rng.random((60, 2)) < 0.7
+    u, i = np.nonzero(met)
+    liked = rng.random(len(u)) < 0.8
+    return ranking.Held(u.astype(np.int32), i.astype(np.int32), liked, 60, 300), met, np.bincount(u * 300 + i, liked, 60 * 300).reshape(60, 300)
+
+
+@pytest.mark.parametrize("dense", [0, 1, 32])
+def test_hops_of_walk_equal_matrix(monkeypatch, dense):
+    monkeypatch.setattr(ranking, "DENSE", dense)
+    monkeypatch.setattr(ranking, "HELD_PATHS", 50)
+    monkeypatch.setattr(ranking, "HELD_SCORES", 900)
+    held, met, b = _skewed_graph()
+    likes, degree = np.maximum(b.sum(1), 1), np.maximum(b.sum(0), 1)
+    want = 0.85**3 * (b / likes[:, None]) @ (b / degree).T @ (b / likes[:, None])
+    asked = np.flatnonzero(b.sum(1))
+    rows = [r for batch in ranking.hops_top(held, "walk", ranking._walk_hops, asked, 7, lambda graph: 0.85**3 / np.maximum(np.diff(graph.likes_cut), 1)) for r in batch.to_pylist()]
+    for u in asked:
+        score = np.round(np.where(met[u], 0, want[u]), 12)
+        top = [i for i in np.lexsort((np.arange(300), -score))[:7] if score[i] > 0]
+        assert [r["i"] for r in rows if r["u"] == u] == top
+        assert [r["score"] for r in rows if r["u"] == u] == pytest.approx(score[top], abs=2e-12)
+
+
+def test_walk_steps_need_no_joins(spark, clean, monkeypatch):
+    edge = ranking.edges(clean, 90).cache()
+    users = edge.select("user_id").distinct()
+    want = {(r.user_id, r["rank"], r.item_id): r.score for r in ranking.top_k(ranking.walk_steps(users, edge, steps=1), 4).collect()}
+    monkeypatch.setattr(ranking, "walk_steps", None)
+    assert {(r.user_id, r["rank"], r.item_id): r.score for r in ranking.steps_top(users, edge, 4).collect()} == pytest.approx(want)
