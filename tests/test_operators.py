@@ -367,3 +367,16 @@ def test_walk_steps_need_no_joins(spark, clean, monkeypatch):
     want = {(r.user_id, r["rank"], r.item_id): r.score for r in ranking.top_k(ranking.walk_steps(users, edge, steps=1), 4).collect()}
     monkeypatch.setattr(ranking, "walk_steps", None)
     assert {(r.user_id, r["rank"], r.item_id): r.score for r in ranking.steps_top(users, edge, 4).collect()} == pytest.approx(want)
+
+
+def test_nearest_items_need_no_pairs(spark, clean, monkeypatch):
+    edge = ranking.edges(clean, 90).cache()
+    liked = defaultdict(set)
+    for r in edge.where("positive").collect():
+        liked[r.item_id].add(r.user_id)
+    want = {}
+    for a in liked:
+        near = sorted((-round(len(liked[a] & liked[b]) / math.sqrt(len(liked[a]) * len(liked[b])), 12), b) for b in liked if b != a and liked[a] & liked[b])[:3]
+        want |= {(a, n, b): -s for n, (s, b) in enumerate(near, 1)}
+    monkeypatch.setattr(ranking, "item_similarity", None)
+    assert {(r.item_id, r["rank"], r.near_item): r.score for r in ranking.nearest_items(edge, 3).collect()} == pytest.approx(want)
