@@ -380,3 +380,21 @@ def test_nearest_items_need_no_pairs(spark, clean, monkeypatch):
         want |= {(a, n, b): -s for n, (s, b) in enumerate(near, 1)}
     monkeypatch.setattr(ranking, "item_similarity", None)
     assert {(r.item_id, r["rank"], r.near_item): r.score for r in ranking.nearest_items(edge, 3).collect()} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("dense", [0, 1, 32])
+def test_neighbours_make_no_row_of_cosines_per_item(monkeypatch, dense):
+    monkeypatch.setattr(ranking, "DENSE", dense)
+    monkeypatch.setattr(ranking, "HELD_PATHS", 50)
+    monkeypatch.setattr(ranking, "HELD_SCORES", 900)
+    monkeypatch.setattr(ranking.Graph, "cosines", None)
+    held, met, b = _skewed_graph()
+    cosine = b.T @ b / np.sqrt(np.maximum(np.outer(b.sum(0), b.sum(0)), 1))
+    np.fill_diagonal(cosine, 0)
+    asked = np.flatnonzero(b.sum(1))
+    rows = [r for batch in ranking.hops_top(held, "cosines", ranking._cosine_hops, asked, 7, lambda graph: np.ones(graph.users), summed=True) for r in batch.to_pylist()]
+    for u in asked:
+        score = np.round(np.where(met[u], 0, b[u] @ cosine), 12)
+        top = [i for i in np.lexsort((np.arange(300), -score))[:7] if score[i] > 0]
+        assert [r["i"] for r in rows if r["u"] == u] == top
+        assert [r["score"] for r in rows if r["u"] == u] == pytest.approx(score[top], abs=2e-12)
