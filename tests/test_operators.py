@@ -398,3 +398,26 @@ def test_neighbours_make_no_row_of_cosines_per_item(monkeypatch, dense):
         top = [i for i in np.lexsort((np.arange(300), -score))[:7] if score[i] > 0]
         assert [r["i"] for r in rows if r["u"] == u] == top
         assert [r["score"] for r in rows if r["u"] == u] == pytest.approx(score[top], abs=2e-12)
+
+
+@pytest.mark.parametrize("limit", [4, 7, 100, 400])
+def test_walk_equals_plain_steps(limit, monkeypatch):
+    """Lists and dense rows, over a graph of three parts, against matrices; who settles; and changes are looked at only when they may have ended."""
+    monkeypatch.setattr(ranking, "DENSE", 2)
+    held, _, b = _skewed_graph()
+    b = np.block([[b, np.zeros((60, 4))], [np.zeros((2, 300)), np.array([[1, 1, 0, 0], [0, 0, 1, 1]])]])
+    u, i = np.nonzero(b)
+    walk = ranking.Walk(ranking.Graph(u, i, np.ones(len(u), bool), 62, 304), 0.85, limit, 1e-12)
+    n, degree = np.maximum(b.sum(1), 1), np.maximum(b.sum(0), 1)
+    asked = [0, 5, 60, 61]
+    start = (b / n[:, None])[asked].T
+    twice, looks = walk.twice, []
+    monkeypatch.setattr(walk, "twice", lambda mass, look: looks.append(look) or twice(mass, look))
+    got, change = walk.run(start)
+    want = 0.85 * start
+    for _ in range(limit // 2 - 1):
+        want = 0.85**2 * (b / n[:, None]).T @ ((b / degree) @ want) + 0.85 * 0.15 * start
+    np.testing.assert_allclose(got, want, atol=1e-11 if limit == 400 else 1e-14)
+    assert (change <= 1e-12).tolist() == [limit == 400] * 4
+    assert sum(looks) < 50
+    assert not limit == 100 or sum(looks) < 10
