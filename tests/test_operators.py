@@ -421,3 +421,27 @@ def test_walk_equals_plain_steps(limit, monkeypatch):
     assert (change <= 1e-12).tolist() == [limit == 400] * 4
     assert sum(looks) < 50
     assert not limit == 100 or sum(looks) < 10
+
+
+def test_best_factors_without_sorting_rows():
+    rng = np.random.default_rng(3)
+    score = np.round(rng.normal(0, 1, (9, 700)), 1) - rng.random((9, 700)) * 1e-13
+    wanted = np.array([1, 3, 3, 5, 8, 8, 13, 699, 900])
+    row, column, value = ranking._near_best_first(score, wanted)
+    for r, n in enumerate(wanted):
+        line = np.round(score[r], 12)
+        top = np.lexsort((np.arange(700), -line))[:n]
+        assert column[row == r].tolist() == top.tolist()
+        assert value[row == r].tolist() == line[top].tolist()
+
+
+def test_factor_updates_of_equal_rows_are_summed():
+    rng = np.random.default_rng(3)
+    model = ranking.Factors(np.array([0]), np.array([0]), np.array([True]), 1, 2, 0.1, 0.0, rng)
+    rows, values, to = np.minimum(rng.geometric(0.02, 5000), 400) - 1, rng.normal(0, 1, (5000, 4)), rng.normal(0, 1, (400, 4))
+    want = to.copy()
+    np.add.at(want, rows, 0.1 * values)
+    model._add(to, rows, values.copy(), np.zeros(400, np.int64))
+    np.testing.assert_allclose(to, want, atol=1e-11)
+    model._add(to, rows[:0], values[:0], np.zeros(400, np.int64))
+    np.testing.assert_allclose(to, want, atol=1e-11)
